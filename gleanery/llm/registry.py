@@ -1,8 +1,9 @@
 """Queries and SQL of this folder."""
 
-from . import exact_dedup
+from . import exact_dedup, secrets
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
 }
 ORACLES = {
