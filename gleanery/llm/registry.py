@@ -1,9 +1,10 @@
 """Queries and SQL of this folder."""
 
-from . import exact_dedup, secrets
+from . import exact_dedup, secrets, token_counts
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_token_counts": token_counts.op2_token_counts,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
 }
 ORACLES = {
