@@ -1,11 +1,12 @@
 """Queries and SQL of this folder."""
 
-from . import exact_dedup, secrets, token_counts
+from . import bpe, exact_dedup, secrets, token_counts
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op8_byte_bpe": bpe.op8_byte_bpe,
 }
 ORACLES = {
     "op3_exact_dedup": exact_dedup.SQL,
