@@ -1,6 +1,6 @@
 """Queries and SQL of this folder."""
 
-from . import bpe, decontaminate, exact_dedup, lm, near_dedup, quality, secrets, token_counts
+from . import bpe, decontaminate, exact_dedup, lm, near_dedup, personal, quality, secrets, token_counts
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_personal_data": personal.op7_personal_data,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_lm_scores": lm.op9_lm_scores,
     "op10_quality": quality.op10_quality,
