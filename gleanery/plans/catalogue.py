@@ -1,4 +1,6 @@
-"""Named queries over the reference's operators, each with the SQL that must give the same rows."""
+"""All named queries over the engine's operators, each with the SQL that must give the same rows where SQL can."""
 
-QUERIES = {}
-ORACLES = {}
+from . import boxes, library, pixels, similarity
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "boxes", "library", "pixels", "similarity"]
