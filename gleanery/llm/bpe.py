@@ -8,8 +8,8 @@ reassembled by position. A word that makes up a third of the corpus is one entry
 block; a document, however long, is one row of packed positions. Decoding joins ids
 with the token-byte table, which is bounded by the vocabulary file.
 
-Blocks are written to the shared folder before they are exchanged, so tasks repeated
-after a lost executor see the same ones. Defined results: null counts as empty and
+Blocks are named by scan partition and number, so that a task repeated after a lost
+executor names them alike. Defined results: null counts as empty and
 gives no ids; repeated rows get the same ids each; null ids are kept; an empty table
 gives no rows; other columns are not read.
 """
@@ -18,22 +18,21 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import arrays
-from .common import materialize, partitions, read
+from .common import partitions, read
 
-BLOCK_BYTES = 12 << 20
-HEADER, DOCUMENT, REQUEST = 0, 1, 2
-BLOCKS = pa.schema([("role", pa.int32()), ("block", pa.string()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("payload", pa.binary())])
-BLOCK_DDL = "role int, block string, bucket int, doc_id long, payload binary"
+BLOCK_BYTES = 8 << 20
+#: ``place`` is where a row goes first: a bucket, or for a block's own row (bucket -1) anywhere.
+ROWS = pa.schema([("place", pa.string()), ("block", pa.string()), ("bucket", pa.int32()), ("payload", pa.binary())])
+ROWS_DDL, BACK_DDL = "place string, block string, bucket int, payload binary", "block string, bucket int, payload binary"
 
 
 def pack(*parts: np.ndarray | bytes) -> bytes:
@@ -68,40 +67,47 @@ class Places(dict):
 
 
 def cut(pattern: str, n_buckets: int):
-    """For mapInArrow: blocks of documents as header, document and request rows."""
+    """For mapInArrow: each block of documents as one row of its own, and requests to buckets."""
     import regex
 
     split = regex.compile(pattern).findall
 
-    def block(ids: list, texts: list) -> pa.RecordBatch:
-        name, places, rows = uuid.uuid4().hex, Places(), []
-        for i, t in zip(ids, texts, strict=True):
+    def block(name: str, ids: pa.Array, texts: list) -> pa.RecordBatch:
+        places, docs = Places(), []
+        for t in texts:
             words = split(t) if t else []
-            rows.append((DOCUMENT, name, -1, i, pack(np.fromiter(map(places.__getitem__, words), np.uint32, len(words)))))
+            docs.append(np.fromiter(map(places.__getitem__, words), np.uint32, len(words)))
+        at = np.concatenate(docs)
+        order = np.argsort(-np.bincount(at, minlength=len(places)), kind="stable")  # frequent words get small numbers, which pack well
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order))
         words = [w.encode("utf-8") for w in places]
+        words = [words[k] for k in order.tolist()]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         data, starts = np.frombuffer(b"".join(words), np.uint8), np.concatenate(([0], np.cumsum(sizes)))
         bucket = np.zeros(len(words), np.int64)
-        for a, b, some, at in arrays.chunks(data, starts):
-            bucket[a:b] = arrays.mix(arrays.stretch(arrays.running(some), at[:-1], at[1:])) % np.uint64(n_buckets)
-        rows.append((HEADER, name, -1, None, pack(bucket)))
+        for a, b, some, own in arrays.chunks(data, starts):
+            bucket[a:b] = arrays.mix(arrays.stretch(arrays.running(some), own[:-1], own[1:])) % np.uint64(n_buckets)
+        known = np.array(ids.is_valid().to_pylist(), np.uint8)
+        numbered = np.array(ids.fill_null(0).to_pylist(), "<i8")
+        rows = [("d" + name, name, -1, pack(bucket, np.array([len(d) for d in docs]), rank[at], known.tobytes(), numbered.tobytes()))]
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-        for b in range(n_buckets):
-            if edges[b] < edges[b + 1]:
-                own = order[edges[b] : edges[b + 1]]
-                rows.append((REQUEST, name, b, None, pack(sizes[own], b"".join([words[k] for k in own]))))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), BLOCKS.types, strict=True)], schema=BLOCKS)
+        for b in np.flatnonzero(np.diff(edges)).tolist():
+            own = order[edges[b] : edges[b + 1]]
+            rows.append((f"b{b}", name, b, pack(sizes[own], b"".join([words[k] for k in own.tolist()]))))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ROWS.types, strict=True)], schema=ROWS)
 
     def run(batches):
+        part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
             text = batch.column("text")
             _, at = arrays.column_bytes(text)
             first = 0
             while first < len(text):
                 past = max(first + 1, int(np.searchsorted(at, at[first] + BLOCK_BYTES, "right")) - 1)
-                yield block(batch.column("doc_id").slice(first, past - first).to_pylist(), text.slice(first, past - first).to_pylist())
-                first = past
+                yield block(f"{part}-{seq}", batch.column("doc_id").slice(first, past - first), text.slice(first, past - first).to_pylist())
+                first, seq = past, seq + 1
 
     return run
 
@@ -120,15 +126,16 @@ def encoder(path: str, pattern: str):
 
 
 def answer(path: str, pattern: str):
-    """For applyInArrow on a bucket: encodes its distinct words, and answers each block in its own order."""
+    """For applyInArrow: a bucket's distinct words are encoded and each block answered in its own order; blocks' own rows pass."""
 
     def run(key, table):
-        encode, known, blocks, payloads = encoder(path, pattern), {}, table.column("block").to_pylist(), []
+        if not key[0].as_py().startswith("b"):
+            return table.drop_columns(["place"])
+        encode, known, payloads = encoder(path, pattern), {}, []
         for data in table.column("payload"):
             sizes, blob = unpack(data.as_py())
-            ends = np.cumsum(numbers(sizes)).tolist()
             ids, at = [], 0
-            for end in ends:
+            for end in np.cumsum(numbers(sizes)).tolist():
                 word = blob[at:end]
                 got = known.get(word)
                 if got is None:
@@ -137,44 +144,38 @@ def answer(path: str, pattern: str):
                 at = end
             flat = np.fromiter((x for got in ids for x in got), np.uint32)
             payloads.append(pack(np.fromiter(map(len, ids), np.uint32, len(ids)), flat))
-        return pa.table({"block": pa.array(blocks, pa.string()), "bucket": table.column("bucket"), "payload": pa.array(payloads, pa.binary())})
+        return table.drop_columns(["place", "payload"]).append_column("payload", pa.array(payloads, pa.binary()))
 
     return run
 
 
-def reassemble(key, docs, answers):
+def reassemble(key, table):
     """For a block: the ids of its documents, from the answers to its words."""
-    roles, payload = docs.column("role").to_numpy(), docs.column("payload")
-    head = np.flatnonzero(roles == HEADER)
     counts, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
-    for k in np.argsort(answers.column("bucket").to_numpy(), kind="stable"):
-        n, ids = unpack(answers.column("payload")[int(k)].as_py())
+    by_bucket = np.argsort(table.column("bucket").to_numpy(), kind="stable").tolist()  # the block's own row comes first
+    for k in by_bucket[1:]:
+        n, ids = unpack(table.column("payload")[k].as_py())
         counts.append(numbers(n).astype(np.int64))
         flat.append(numbers(ids))
-    size, flat = np.concatenate(counts), np.concatenate(flat)
-    start = np.cumsum(size) - size
-    # the answers stand by bucket; the block's words in order of appearance
-    bucket = numbers(unpack(payload[int(head[0])].as_py())[0])
-    order = np.argsort(bucket, kind="stable")
+    size, flat = np.concatenate(counts), np.concatenate(flat).astype(np.int32)
+    bucket, lengths, at, known, numbered = unpack(table.column("payload")[by_bucket[0]].as_py())
+    # the answers stand by bucket; the block's words by how often it has them
+    order = np.argsort(numbers(bucket), kind="stable")
     starts, sizes = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-    starts[order], sizes[order] = start, size
-    rows, lists, ends = np.flatnonzero(roles == DOCUMENT), [], [0]
-    for k in rows:
-        at = numbers(unpack(payload[int(k)].as_py())[0])
-        lists.append(flat[arrays.ragged(starts[at], sizes[at])])
-        ends.append(ends[-1] + len(lists[-1]))
-    ids = np.concatenate(lists).astype(np.int32) if lists else np.zeros(0, np.int32)
-    return pa.table({"doc_id": docs.column("doc_id").take(pa.array(rows)), "ids": pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(ids)).cast(pa.list_(pa.int32()))})
+    starts[order], sizes[order] = np.cumsum(size) - size, size
+    at, past = numbers(at), np.cumsum(numbers(lengths).astype(np.int64))
+    lists = [flat[arrays.ragged(starts[own], sizes[own])] for own in np.split(at, past[:-1])]
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+    ids = pa.array(np.frombuffer(numbered, "<i8"), mask=~np.frombuffer(known, np.uint8).astype(bool))
+    return pa.table({"doc_id": ids, "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists)))})
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id`` and ``ids`` (array of int) for each row, by the ranks in ``path``, each match of ``pattern`` on its own."""
-    spark = docs.sparkSession
-    n_buckets = 2 * partitions(spark)
-    blocks = materialize(docs.select("doc_id", "text").mapInArrow(cut(pattern, n_buckets), BLOCK_DDL), "blocks")
-    answers = blocks.filter(F.col("role") == REQUEST).select("block", "bucket", "payload").groupBy("bucket").applyInArrow(answer(path, pattern), "block string, bucket int, payload binary")
-    own = blocks.filter(F.col("role") != REQUEST).select("block", "role", "doc_id", "payload")
-    return own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(reassemble, "doc_id long, ids array<int>")
+    n_buckets = 2 * partitions(docs.sparkSession)
+    rows = docs.select("doc_id", "text").mapInArrow(cut(pattern, n_buckets), ROWS_DDL)
+    back = rows.groupBy("place").applyInArrow(answer(path, pattern), BACK_DDL)
+    return back.groupBy("block").applyInArrow(reassemble, "doc_id long, ids array<int>")
 
 
 def decoded(path: str):
