@@ -117,7 +117,7 @@ def pair_similarity_matrix(spark, sf_dir):
 
 
 @query(
-    """WITH s AS (SELECT label, vec_id, list_sum(CAST(embedding AS DOUBLE[])) AS total, list_min(embedding) AS low, list_max(embedding) AS high, list_avg(CAST(embedding AS DOUBLE[])) AS mean FROM embeddings)
+    """WITH s AS (SELECT label, vec_id, list_sum(CAST(embedding AS DOUBLE[])) AS total, list_min(embedding)::DOUBLE AS low, list_max(embedding)::DOUBLE AS high, list_avg(CAST(embedding AS DOUBLE[])) AS mean FROM embeddings)
     SELECT vec_id, round(total, 6) AS total, round(low, 6) AS low, round(high, 6) AS high, round(mean, 6) AS mean,
            coalesce(abs(total - lag(total) OVER (PARTITION BY label ORDER BY vec_id)) < 0.01, false) AS near_previous FROM s"""
 )
