@@ -8,8 +8,10 @@ native operators (secrets, exact duplicates, personal data) use just ``read``,
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,14 +21,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    path = tempfile.mkdtemp(prefix="gleanery-")
+    atexit.register(shutil.rmtree, path, True)
+    return path
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``; one of our own only where that is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    own = tempfile.mkdtemp(prefix="gleanery-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or _own_dir()
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -64,3 +68,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. ``lower`` does just that when a text is all ASCII, and runs much faster than ``translate``."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def free(name: str, columns: list[str]) -> str:
+    """``name``, made longer until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

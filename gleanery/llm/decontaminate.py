@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrays
-from .common import materialize, read, text_or_empty
+from .common import free, materialize, read, text_or_empty
 
 WINDOW, SHORTEST, LITERALS = 13, 8, 6
 BITMAP_BITS = 24
@@ -172,8 +172,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item, all columns kept."""
     found = _verdicts(docs, benchmark).select("m_id", "m_digest")
-    own = docs.withColumn("_digest", F.xxhash64(text_or_empty()))
-    return own.join(found, own["doc_id"].eqNullSafe(found["m_id"]) & (own["_digest"] == found["m_digest"]), "left_anti").select(*docs.columns)
+    digest = free("_digest", docs.columns)
+    own = docs.withColumn(digest, F.xxhash64(text_or_empty()))
+    return own.join(found, own["doc_id"].eqNullSafe(found["m_id"]) & (own[digest] == found["m_digest"]), "left_anti").select(*docs.columns)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, read, text_or_empty
+from .common import ascii_lower, free, materialize, read, text_or_empty
 
 PREFIX_CHARS = 64
 #: Keys of this many rows and fewer (about 40 bytes each) are broadcast; more are shuffled.
@@ -63,15 +63,17 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without all but one row of each group of equal texts, all columns kept. Repeats of the row that stays go, too."""
     columns = docs.columns
+    n_bytes, sha, keep, copy = (free(c, columns) for c in ("_n_bytes", "_sha", "_keep", "_copy"))
     text = text_or_empty()
     groups = materialize(duplicate_groups(docs), "copies")
     n = groups.count()
-    key = [F.octet_length(text).alias("_n"), F.sha2(ascii_lower(text), 256).alias("_sha")]
-    marked = docs.select("*", *key).join(_small(groups.select(F.col("n_bytes").alias("_n"), F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep"), F.lit(True).alias("_copy")), n), ["_n", "_sha"], "left")
-    single = marked.filter("_copy is null").select(*columns)
+    key = [F.octet_length(text).alias(n_bytes), F.sha2(ascii_lower(text), 256).alias(sha)]
+    known = groups.select(F.col("n_bytes").alias(n_bytes), F.col("text_sha256").alias(sha), F.col("keep_id").alias(keep), F.lit(True).alias(copy))
+    marked = docs.select("*", *key).join(_small(known, n), [n_bytes, sha], "left")
+    single = marked.filter(F.col(copy).isNull()).select(*columns)
     # what stays of each group is one row, even if its doc_id is repeated
-    staying = marked.filter(F.col("_copy") & F.col("doc_id").eqNullSafe(F.col("_keep")))
-    return single.unionByName(staying.dropDuplicates(["_sha"]).select(*columns))
+    staying = marked.filter(F.col(copy) & F.col("doc_id").eqNullSafe(F.col(keep)))
+    return single.unionByName(staying.dropDuplicates([sha]).select(*columns))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,16 +133,15 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, epochs
     return np.frombuffer(bytes(found[0].weights), np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """``docs`` with the column ``_score`` added last (in place of one of that name)."""
-    docs = docs.drop("_score")
+def score(docs: DataFrame, weights: np.ndarray, column: str = "score") -> DataFrame:
+    """``docs`` with ``column``, a name of its own, added last."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score_batch(b.column("text"), sent.value), pa.float64())], [*b.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score_batch(b.column("text"), sent.value), pa.float64())], [*b.schema.names, column])
 
-    return docs.mapInArrow(run, StructType([*docs.schema, StructField("_score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField(column, DoubleType())]))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,6 +150,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id",
         (F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0).alias("held_out"),
-        F.col("_score").alias("score"),
-        (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"),
+        "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )

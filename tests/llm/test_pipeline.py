@@ -2,6 +2,7 @@ import hashlib
 
 import public_tokenizers as P
 import pyarrow.parquet as pq
+from pyspark.sql.functions import col, when
 from test_near_dedup import brute as near
 
 import corpus_pipeline
@@ -34,8 +35,10 @@ def test_run_matches_stage_by_stage_brute_force(spark):
 
 def test_columns_and_rows_through_the_stages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for c in ("_score", "_sha", "_digest", "_keep", "class", "digest", "text_sha256"):
+        docs = docs.withColumn(c, when(col("doc_id") >= 0, "x"))
     labels_dir = "/root/testdata/sf0.001"
-    now = docs.limit(30).union(docs.limit(5)).union(spark.createDataFrame([(None, None, None, None, None), (None, "x", "en", "s", 1)], docs.schema))
+    now = docs.limit(30).union(docs.limit(5)).union(spark.createDataFrame([(None,) * 12, (None, "x", "en", "s", 1, *"abcdefg")], docs.schema))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         now = stage(spark, now, labels_dir)
         assert now.columns == docs.columns and now.count() > 0

@@ -23,10 +23,10 @@ def test_edges(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, None), (None, 1)], "doc_id long, quality int")
     w = quality.fit(docs, labels)
     got = quality.score(docs, w).collect()
-    assert len(got) == 5 and all(0 <= r._score <= 1 for r in got)
-    assert got[0]._score == got[1]._score and got[2]._score == got[3]._score
+    assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
+    assert got[0].score == got[1].score and got[2].score == got[3].score
     none = quality.fit(docs, labels.limit(0))
-    assert all(r._score == 0.5 for r in quality.score(docs, none).collect())
+    assert all(r.score == 0.5 for r in quality.score(docs, none).collect())
     assert quality.score(docs.limit(0), none).collect() == []
 
 
