@@ -9,15 +9,16 @@ under ``quality.THRESHOLD``) goes.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleanery.llm import bpe, decontaminate, exact_dedup, near_dedup, quality
-from gleanery.llm.common import materialize, read
+from gleanery.llm.common import free, materialize, read
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     weights = quality.fit(docs, read(spark, sf_dir, "labels"))
-    scored = quality.score(docs, weights)
-    return scored.filter(scored["_score"] >= quality.THRESHOLD).select(*docs.columns)
+    column = free("_score", docs.columns)
+    return quality.score(docs, weights, column).filter(F.col(column) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def keep_one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
