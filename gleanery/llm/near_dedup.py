@@ -8,10 +8,11 @@ The number of chunks is what keeps the chance that a pair just at the threshold
 beyond the distance under MISS.
 
 Rows with one and the same shingle set are one class, and only classes are joined. In a
-bucket, classes are first compared with two of its members only (the least, and the
-one that shares most buckets with others), which joins true groups; then just the
-classes outside the bucket's largest component are compared with the members of other
-components, so that no link between components is lost and no group gives all pairs.
+bucket, classes are first compared with one of its members only (that which shares most
+buckets with others, so mostly what the others vary), which joins true groups. Where a bucket
+still holds several components, its classes are compared across them, if the rarest
+shingles of their sets meet (a condition that every link fulfils), so that no link
+between components is lost and no group gives all pairs.
 
 Defined results: null, empty and white-space texts have no shingles and link with
 nothing; a text of fewer words than a shingle has is one shingle; rows with a null
@@ -38,6 +39,8 @@ from .components import components
 WIDTH, ERRORS, MISS = 5, 1, 1e-5
 #: Document numbers up to this count (8 bytes each) are broadcast to pick their texts; more are shuffled.
 BROADCAST_ROWS = 500_000
+#: 2**COUNTER_BITS counters of 4 bytes are broadcast, whatever the input.
+COUNTER_BITS = 21
 
 
 def chunks_for(percent: int) -> int:
@@ -149,9 +152,8 @@ def _close(pairs: DataFrame, signatures: DataFrame, distance: int) -> DataFrame:
     return both.mapInArrow(run, "x long, y long")
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (x, y) of classes that the full sets confirm, as (a, b)."""
-    wanted = pairs.select(F.col("x").alias("class")).union(pairs.select("y")).distinct().join(reps, "class").select("class", F.col("rep").alias("doc_id"))
+def _texts(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """``class`` and ``text`` for each row (class, doc_id) of ``wanted``."""
     wanted = materialize(wanted, "wanted")
     ids = wanted.select("doc_id").distinct()
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_ROWS else ids
@@ -161,52 +163,96 @@ def _linked(docs: DataFrame, pairs: DataFrame, reps: DataFrame, n: int, percent:
             yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in shingle_sets(b.column("text"), n)], pa.int64()), b.column("text")], ["class", "text"])
 
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(classed, "class long, text string")
-    texts = materialize(texts.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]), "texts")
+    return materialize(texts.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]), "texts")
+
+
+def _linked(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (x, y) of classes that the full sets confirm, as (a, b)."""
     first = pairs.join(texts.select(F.col("class").alias("x"), F.col("text").alias("x_text")), "x")
     both = first.join(texts.select(F.col("class").alias("y"), F.col("text").alias("y_text")).hint("merge"), "y")
     return materialize(both.select("x", "y", "x_text", "y_text").mapInArrow(_confirm(n, percent), "a long, b long"), "confirmed")
 
 
+def _prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """``class``, ``shingle``, ``at``: of each set, the shingles of which a set linked with it must have one, and their places.
+
+    Two sets with that similarity differ in few shingles, so in any order that all sets
+    share, the first of each must meet; the order puts rare shingles first, so that
+    members of a large group meet over what only some of them have. How rare a shingle
+    is is read from counters of a fixed number, which its hash picks."""
+    spark = texts.sparkSession
+
+    def count(batches):
+        for b in batches:
+            sets = shingle_sets(b.column("text"), n)
+            i, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]) >> np.uint64(64 - COUNTER_BITS), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(c.astype(np.int64))], ["i", "c"])
+
+    counted = texts.select("text").mapInArrow(count, "i int, c long").groupBy("i").agg(F.least(F.sum("c"), F.lit(2**31 - 1)).cast("int").alias("c")).toArrow()
+    counters = np.zeros(1 << COUNTER_BITS, np.int32)
+    counters[counted.column("i").to_numpy()] = counted.column("c").to_numpy()
+    sent = spark.sparkContext.broadcast(counters)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for s in shingle_sets(b.column("text"), n):
+                rare = np.argsort(sent.value[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], kind="stable")  # ties by hash
+                out.append(s[rare[: len(s) - -(-percent * len(s) // 100) + 1]].astype(np.int64))
+            lengths = np.array([len(x) for x in out], np.int64)
+            rows, at = pa.array(np.repeat(np.arange(len(out)), lengths)), arrays.ragged(np.zeros(len(out), np.int64), lengths)
+            yield pa.RecordBatch.from_arrays([b.column("class").take(rows), pa.array(np.concatenate([np.zeros(0, np.int64), *out])), pa.array(at)], ["class", "shingle", "at"])
+
+    return texts.mapInArrow(run, "class long, shingle long, at long")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for each row; linked are sets whose Jaccard similarity is ``percent`` / 100 or more."""
     chunks = chunks_for(percent)
     size, distance = chunks * WIDTH, chunks * (ERRORS + 1) - 1
     signed = materialize(docs.select("doc_id", "text").mapInArrow(_sign(n, size), "doc_id long, n_shingles long, class long, signature binary"), "signatures")
-    classes = signed.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    classes = signed.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     classes = materialize(classes, "classes")
-    reps = classes.select("class", "rep")
+    reps = classes.select("class", "doc_id")
     index = classes.select("class", "n", "signature").mapInArrow(_index(chunks), "key long, class long, n long")
     shared = index.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     members = materialize(index.join(shared, "key"), "members")
 
     weight = members.groupBy("class").agg(F.sum(F.log2("size")).alias("weight"))
-    heads = members.join(weight, "class").groupBy("key").agg(F.min("class").alias("least"), F.max_by("class", F.struct("weight", "class")).alias("central"))
+    heads = members.join(weight, "class").groupBy("key").agg(F.max_by("class", F.struct("weight", "class")).alias("y"))
     alike = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     sizes = classes.select(F.col("class").alias("y"), F.col("n").alias("m"))
-    star = members.join(heads, "key").select("class", "n", F.explode(F.array("least", "central")).alias("y")).filter("class <> y").distinct()
+    star = members.join(heads, "key").select("class", "n", "y").filter("class <> y").distinct()
     star = star.join(sizes, "y").filter(alike).select(F.least("class", "y").alias("x"), F.greatest("class", "y").alias("y")).distinct()
     tried = materialize(_close(star, classes, distance), "stars-tried")
-    links = _linked(docs, tried, reps, n, percent)
+    wanted = tried.select(F.col("x").alias("class")).union(tried.select("y")).distinct()
+    links = _linked(_texts(docs, wanted.join(reps, "class"), n), tried, n, percent)
     found = materialize(components(links), "components")
 
     # what the stars may have missed: links between components that share a bucket
     labelled = members.join(found.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    labelled = materialize(labelled, "labelled")
-    held = labelled.groupBy("key", "label").agg(F.count("*").alias("own"))
-    split = held.groupBy("key").agg(F.max_by("label", F.struct("own", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").select("key", "main")
-    open_ = labelled.join(split, "key")
-    rest = open_.filter("label <> main").select("key", "class", "n", "label")
-    others = open_.select("key", F.col("class").alias("y"), F.col("n").alias("m"), F.col("label").alias("other"))
-    cross = rest.join(others, (rest["key"] == others["key"]) & (rest["label"] != others["other"]) & alike)
+    split = labelled.groupBy("key").agg((F.min("label") < F.max("label")).alias("split")).filter("split").select("key")
+    open_ = materialize(labelled.join(split, "key").groupBy("class", "label", "n").agg(F.lit(1).alias("one")), "open")
+    texts = _texts(docs, open_.select("class").join(reps, "class"), n)
+    held = materialize(_prefixes(texts, n, percent).join(open_, "class"), "prefixes")
+    own = held.groupBy("shingle", "label").agg(F.count("*").alias("own"))
+    split = own.groupBy("shingle").agg(F.max_by("label", F.struct("own", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").select("shingle", "main")
+    held = held.join(split, "shingle")
+    rest = held.filter("label <> main").select("shingle", "class", "n", "label", "at")
+    others = held.select("shingle", F.col("class").alias("y"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("at").alias("there"))
+    # if this is the first they share, what is left of either set must hold all that a link needs
+    need = percent * (F.col("n") + F.col("m"))
+    enough = ((F.col("n") - F.col("at")) * (100 + percent) >= need) & ((F.col("m") - F.col("there")) * (100 + percent) >= need)
+    cross = rest.join(others, (rest["shingle"] == others["shingle"]) & (rest["label"] != others["other"]) & alike & enough)
     cross = cross.select(F.least("class", "y").alias("x"), F.greatest("class", "y").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")
-    cross = materialize(_close(cross, classes, distance), "cross-tried")
-    more = _linked(docs, cross, reps, n, percent)
+    cross = materialize(cross, "cross-tried")
+    more = _linked(texts, cross, n, percent)
     found = components(links.unionByName(more))
 
     # the smallest doc_id of each component, and of each class outside any
-    label = classes.select("class", "rep").join(found.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    label = reps.join(found.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     label = materialize(label, "labels")
-    smallest = label.groupBy("label").agg(F.min("rep").alias("component_id"))
+    smallest = label.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = label.join(smallest, "label").select("class", "component_id")
     rows = signed.select("doc_id", "n_shingles", "class").join(named, "class", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
@@ -221,3 +267,16 @@ def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), 3, 85)
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
+c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM documents LEFT JOIN n USING (doc_id) JOIN c ON node = doc_id
+"""
