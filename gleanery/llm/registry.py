@@ -16,4 +16,5 @@ QUERIES = {
 }
 ORACLES = {
     "op3_exact_dedup": exact_dedup.SQL,
+    "op4_near_dedup": near_dedup.SQL,
 }
