@@ -120,3 +120,19 @@ def windows_at(w: Column, h: Column, scale: float, least: int = 32) -> Column:
 
     every = F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: window(x, y))))
     return F.when((ww >= least) & (hh >= least), every).otherwise(F.array().cast("array<struct<x:int,y:int,w:int,h:int>>"))
+
+
+def crop_pixels(x1, y1, x2, y2, width: Column, height: Column) -> tuple[Column, ...]:
+    """A box in shares of the image to whole pixels (x, y, w, h), within the image and at least one pixel wide and high."""
+    left, top = F.least((x1 * width).cast("int"), width - 1), F.least((y1 * height).cast("int"), height - 1)
+    w, h = F.least((x2 * width).cast("int"), width) - left, F.least((y2 * height).cast("int"), height) - top
+    return left, top, F.greatest(w, F.lit(1)), F.greatest(h, F.lit(1))
+
+
+def eye_distance(ax, ay, bx, by) -> Column:
+    return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
+
+
+def spatial_variance(x: Column, y: Column) -> Column:
+    """An aggregate: the mean squared distance to the mean point."""
+    return F.var_pop(x) + F.var_pop(y)

@@ -111,3 +111,12 @@ def real_face(reasons: list[Column], score: Column) -> Column:
 def bucket(score: Column, high: float = 0.8, middle: float = 0.6, strict: bool = True) -> Column:
     over = (lambda t: score > t) if strict else (lambda t: score >= t)
     return F.when(over(high), "green").when(over(middle), "yellow").otherwise("red")
+
+
+def texture_ok(variance: Column) -> Column:
+    return variance.between(200, 6500)
+
+
+def color_variance(r: Column, g: Column, b: Column) -> Column:
+    """An aggregate: the mean of the channels' variances, as a share of 255 squared."""
+    return (F.var_pop(r) + F.var_pop(g) + F.var_pop(b)) / 3 / (255.0 * 255.0)

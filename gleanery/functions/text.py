@@ -67,3 +67,16 @@ def human_size(n: Column) -> Column:
 
 def short_number(n: Column) -> Column:
     return F.when(n >= 1_000_000, F.format_string("%.1fM", n / F.lit(1e6))).when(n >= 1000, F.format_string("%.1fK", n / F.lit(1e3))).otherwise(n.cast("string"))
+
+
+def fixed(s: Column, size: int) -> Column:
+    """Padded with NUL characters to ``size``, longer ones cut."""
+    return F.rpad(s, size, "\0")
+
+
+def unfixed(s: Column) -> Column:
+    return F.rtrim(s, F.lit("\0"))
+
+
+def percent(x: Column) -> Column:
+    return F.format_string("%.1f%%", x * 100.0)

@@ -27,3 +27,27 @@ def summary(each: DataFrame) -> DataFrame:
         F.coalesce(F.avg(F.col("top_1").cast("double")), zero).alias("top_1_accuracy"),
         F.coalesce(F.avg(F.col("covered").cast("double")), zero).alias("coverage"),
     )
+
+
+def report(summary_row: DataFrame) -> DataFrame:
+    """The summary as lines of text."""
+    from ..functions import text
+
+    lines = [F.format_string("queries: %d", "n_queries"), *[F.concat(F.lit(f"recall@{k}: "), text.percent(F.col(f"recall_{k}"))) for k in KS]]
+    lines += [F.concat(F.lit(f"{n}: "), text.percent(F.col(c))) for n, c in (("top-1", "top_1_accuracy"), ("coverage", "coverage"))]
+    return summary_row.select(F.explode(F.array(*lines, F.format_string("mrr: %.3f", "mrr"))).alias("line"))
+
+
+def legacy_mrr(each: DataFrame) -> DataFrame:
+    """The other definition: a query counts 1 as soon as anything relevant was found."""
+    return each.agg(F.coalesce(F.avg(F.col("covered").cast("double")), F.lit(0.0)).alias("mrr"))
+
+
+def reduction(raw, kept):
+    """Per cent that suppression removed, 0 where there was nothing."""
+    return F.when(raw > 0, (1 - kept / raw) * 100).otherwise(0.0)
+
+
+def counts_agree(ours, theirs, most: float):
+    """Whether two counts differ by at most a share of the second; with a second of 0 only 0 agrees."""
+    return F.when(theirs == 0, ours == 0).otherwise(F.abs(ours - theirs) / theirs <= most)

@@ -125,3 +125,21 @@ def pixel_bounding_box(spark, sf_dir):
 def vector_health(spark, sf_dir):
     own = vectors(spark, sf_dir).select("label", vector.norm(F.col("vector")).alias("s"), F.size("vector").alias("d"))
     return own.groupBy("label").agg(F.count("*").alias("n"), r(F.min("s")).alias("least"), r(F.max("s")).alias("most"), F.min("d").cast("long").alias("dim"), F.count_if(F.abs(F.col("s") * F.col("s") - 1) > 0.001).alias("not_unit"))
+
+
+@query(
+    f"WITH {PIXELS} SELECT image, round((var_pop(r) + var_pop(g) + var_pop(b)) / 3 / 65025, 6) AS color_variance, var_pop({LUMINANCE}) BETWEEN 200 AND 6500 AS texture_ok, round(var_pop(r % 112) + var_pop(g % 112), 4) AS spread FROM p GROUP BY image"
+)
+def face_texture(spark, sf_dir):
+    own = pixels(spark, sf_dir)
+    place = geometry.spatial_variance(F.col("r") % 112, F.col("g") % 112)
+    return own.groupBy("image").agg(r(image.color_variance(*rgb())).alias("color_variance"), image.texture_ok(F.var_pop(image.luminance(*rgb()))).alias("texture_ok"), r(place, 4).alias("spread"))
+
+
+@query(
+    f"""WITH {SIZES}, c AS (SELECT image, w, h, least(trunc(0.25 * w)::INT, w - 1) AS x, least(trunc(0.999 * h)::INT, h - 1) AS y FROM i)
+    SELECT image, x, y, greatest(least(trunc(0.75 * w)::INT, w) - x, 1) AS w, greatest(least(trunc(0.9991 * h)::INT, h) - y, 1) AS h FROM c"""
+)
+def normalized_crop(spark, sf_dir):
+    box = geometry.crop_pixels(F.lit(0.25), F.lit(0.999), F.lit(0.75), F.lit(0.9991), F.col("w"), F.col("h"))
+    return sizes(spark, sf_dir).select("image", *[v.alias(n) for n, v in zip("xywh", box, strict=True)])

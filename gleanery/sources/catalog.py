@@ -117,3 +117,19 @@ def statistics(images: DataFrame, faces: DataFrame, persons: DataFrame, objects:
 
 def scan_status(scanning: bool, scanned: Column, images: Column, pending: Column) -> Column:
     return F.when(F.lit(scanning), scanned).when(pending > 0, F.greatest(images - pending, F.lit(0))).otherwise(images)
+
+
+def migrate(table: DataFrame, column: str, kind: str, default) -> DataFrame:
+    """Adds a column that older files lack, or fills its gaps."""
+    have = F.col(column) if column in table.columns else F.lit(None)
+    return table.withColumn(column, F.coalesce(have.cast(kind), F.lit(default).cast(kind)))
+
+
+def rekey(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows take the ``new_id`` of their ``id`` where ``ids`` has one."""
+    return table.join(ids, "id", "left").withColumn("id", F.coalesce("new_id", "id")).drop("new_id").select(*table.columns)
+
+
+def replace_children(table: DataFrame, rows: DataFrame, parent: str) -> DataFrame:
+    """All rows of the parents in ``rows`` give way to these."""
+    return table.join(rows.select(parent).distinct(), parent, "left_anti").unionByName(rows.select(*table.columns))

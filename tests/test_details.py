@@ -52,3 +52,25 @@ def test_ground_truth(spark):
     text = ["# none", "q1.jpg:", "  relevant:", "    - a.jpg", "    - 'b.jpg'", "  irrelevant:", "    - c.jpg"]
     got = {(r.query, r.candidate, r.relevant) for r in files.ground_truth(spark, text).collect()}
     assert got == {("q1.jpg", "a.jpg", True), ("q1.jpg", "b.jpg", True), ("q1.jpg", "c.jpg", False)}
+
+
+def test_small_helpers(spark):
+    from gleanery.functions import geometry, text
+    from gleanery.operators import evaluation
+    from gleanery.sources import catalog
+
+    r = one(
+        spark, text.unfixed(text.fixed(F.lit("ab"), 8)), F.length(text.fixed(F.lit("ab"), 8)), text.percent(F.lit(0.125)), evaluation.reduction(F.lit(4), F.lit(1)), evaluation.reduction(F.lit(0), F.lit(0)),
+        evaluation.counts_agree(F.lit(11), F.lit(10), 0.1), evaluation.counts_agree(F.lit(1), F.lit(0), 0.1), geometry.eye_distance(F.lit(0), F.lit(0), F.lit(3), F.lit(4)),
+    )
+    assert list(r) == ["ab", 8, "12.5%", 75.0, 0.0, True, False, 5.0]
+    t = spark.createDataFrame([(1, "a"), (2, None)], "id long, c string")
+    assert [x.c for x in catalog.migrate(t, "c", "string", "z").orderBy("id").collect()] == ["a", "z"]
+    assert [x.d for x in catalog.migrate(t, "d", "int", 0).collect()] == [0, 0]
+    assert {x.id for x in catalog.rekey(t, spark.createDataFrame([(1, 9)], "id long, new_id long")).collect()} == {9, 2}
+    rows = spark.createDataFrame([(2, "x"), (2, "y")], t.schema)
+    assert sorted((x.id, x.c) for x in catalog.replace_children(t, rows, "id").collect()) == [(1, "a"), (2, "x"), (2, "y")]
+    run = spark.createDataFrame([("a", 2, "x")], "query string, rank int, candidate string")
+    each = evaluation.per_query(run, spark.createDataFrame([("a", "x")], "query string, candidate string"))
+    assert evaluation.legacy_mrr(each).first().mrr == 1.0 and evaluation.summary(each).first().mrr == 0.5
+    assert "mrr: 0.500" in [x.line for x in evaluation.report(evaluation.summary(each)).collect()]
