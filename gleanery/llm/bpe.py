@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import arrays
 from .common import partitions, read
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 14 << 20
 #: ``place`` is where a row goes first: a bucket, or for a block's own row (bucket -1) anywhere.
 ROWS = pa.schema([("place", pa.string()), ("block", pa.string()), ("bucket", pa.int32()), ("payload", pa.binary())])
 ROWS_DDL, BACK_DDL = "place string, block string, bucket int, payload binary", "block string, bucket int, payload binary"
@@ -42,7 +42,7 @@ def pack(*parts: np.ndarray | bytes) -> bytes:
         if isinstance(p, np.ndarray):
             p = np.ascontiguousarray(p.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes()
         raw += [len(p).to_bytes(8, "little"), p]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
+    return zstandard.ZstdCompressor(level=6).compress(b"".join(raw))
 
 
 def unpack(data: bytes) -> list[bytes]:
@@ -172,7 +172,7 @@ def reassemble(key, table):
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id`` and ``ids`` (array of int) for each row, by the ranks in ``path``, each match of ``pattern`` on its own."""
-    n_buckets = 2 * partitions(docs.sparkSession)
+    n_buckets = partitions(docs.sparkSession)
     rows = docs.select("doc_id", "text").mapInArrow(cut(pattern, n_buckets), ROWS_DDL)
     back = rows.groupBy("place").applyInArrow(answer(path, pattern), BACK_DDL)
     return back.groupBy("block").applyInArrow(reassemble, "doc_id long, ids array<int>")
