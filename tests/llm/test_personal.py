@@ -1,3 +1,5 @@
+import time
+
 import brute
 import pyarrow.parquet as pq
 
@@ -11,8 +13,8 @@ TEXTS = [
     "4111 1111 1111 1111 and 4111-1111-1111-1112 and 41111111111111110 1234 5678",
     "+1 (555) 123-4567 +49.30.1234567 +1- +12345 +1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7",
     "ñ é 🙂 mail: josé.x@y.org call +33 1 23 45 67 89",
-    "1 " * 30_000 + "2" * 50_000,
-    "a" * 100_000 + "@" + "b" * 50_000,
+    "1 " * 3_000 + "2" * 2_000,
+    "a" * 2_000 + "@" + "b" * 1_000,
     "+1" + " " * 60_000,
     "x@" + "a." * 30_000 + "b",
 ]
@@ -34,6 +36,15 @@ def test_base_spans_match_brute_force(spark):
     assert run(spark, docs.limit(0)) == []
 
 
+def test_very_long_runs_neither_recurse_nor_rescan(spark):
+    texts = ["1 " * 60_000 + "2" * 100_000, "a" * 300_000 + "@" + "b" * 200_000, "+1" + " " * 300_000, "7." * 100_000]
+    began = time.time()
+    got = run(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [(r.n_email, r.n_card, r.n_phone) for r in sorted(got)] == [(0, 0, 0)] * 4
+    assert {r.doc_id: r.n_ip for r in got}[3] == 25_000
+    assert time.time() - began < 120
+
+
 def test_trees_add_what_looks_like_checked_spans(spark):
     rows = [(i, f"call {k} +1 (555) {200 + i}-{1000 + i} now") for i, k in enumerate(["phone"] * 60)] + [(100 + i, f"item {i}{i}{i}{i}{i}{i}{i}{i} and {i}.50") for i in range(1, 9)]
     rows.append((999, "call phone (555) 321-9876 now"))
