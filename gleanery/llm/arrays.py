@@ -7,6 +7,7 @@ documents, so that the temporaries stay small however many rows a batch has.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +23,21 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _libc = None
 _powers: dict[str, np.ndarray] = {"n": np.zeros(0)}
 
 
+def trim() -> None:
+    """Gives freed memory back, as workers stay for later stages and the allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers["n"]) < n:
         size = max(n, CHUNK)
@@ -68,6 +81,18 @@ def chunks(data: np.ndarray, at: np.ndarray, size: int = CHUNK) -> Iterator[tupl
         first = past
 
 
+def slices(batch: pa.RecordBatch, column: str, size: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Runs of whole rows with about ``size`` bytes in ``column``, so that what is derived from them stays small, too."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    first, n = 0, batch.num_rows
+    while first < n:
+        past = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + size, "right")))
+        yield batch.slice(first, past - first)
+        first = past
+    trim()
+
+
 def running(data: np.ndarray) -> np.ndarray:
     """Prefix sums from which ``stretch`` takes the hash of any stretch; one longer than ``data``."""
     out = np.zeros(len(data) + 1, np.uint64)

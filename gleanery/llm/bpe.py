@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from . import arrays
-from .common import partitions, read
+from .common import batch_bytes, partitions, read
 
 BLOCK_BYTES = 14 << 20
 #: ``place`` is where a row goes first: a bucket, or for a block's own row (bucket -1) anywhere.
@@ -108,6 +108,7 @@ def cut(pattern: str, n_buckets: int):
                 past = max(first + 1, int(np.searchsorted(at, at[first] + BLOCK_BYTES, "right")) - 1)
                 yield block(f"{part}-{seq}", batch.column("doc_id").slice(first, past - first), text.slice(first, past - first).to_pylist())
                 first, seq = past, seq + 1
+                arrays.trim()
 
     return run
 
@@ -166,12 +167,14 @@ def reassemble(key, table):
     at, past = numbers(at), np.cumsum(numbers(lengths).astype(np.int64))
     lists = [flat[arrays.ragged(starts[own], sizes[own])] for own in np.split(at, past[:-1])]
     ends = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+    arrays.trim()
     ids = pa.array(np.frombuffer(numbered, "<i8"), mask=~np.frombuffer(known, np.uint8).astype(bool))
     return pa.table({"doc_id": ids, "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists)))})
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id`` and ``ids`` (array of int) for each row, by the ranks in ``path``, each match of ``pattern`` on its own."""
+    batch_bytes(docs.sparkSession, BLOCK_BYTES)
     n_buckets = partitions(docs.sparkSession)
     rows = docs.select("doc_id", "text").mapInArrow(cut(pattern, n_buckets), ROWS_DDL)
     back = rows.groupBy("place").applyInArrow(answer(path, pattern), BACK_DDL)
@@ -193,6 +196,7 @@ def decoded(path: str):
                 a.append(hashlib.sha256(",".join(map(names.__getitem__, own)).encode()).hexdigest())
                 d.append(hashlib.sha256(b"".join(map(parts.__getitem__, own))).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            arrays.trim()
 
     return run
 

@@ -54,6 +54,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def batch_bytes(spark: SparkSession, size: int) -> None:
+    """From now on Spark hands Python workers batches of about ``size`` bytes: rows alone (10,000 by default) do not bound them."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

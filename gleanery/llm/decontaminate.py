@@ -122,6 +122,7 @@ def _scan(sizes: list[int], bitmap: np.ndarray | None, whole: bool):
                             ],
                             ["id", "digest", "at", "hash", "slots"],
                         )
+            arrays.trim()
 
     return run
 

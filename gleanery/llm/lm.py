@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import arrays
 from .bpe import numbers, pack, unpack
-from .common import materialize, partitions, read
+from .common import batch_bytes, materialize, partitions, read
 
 BLOCK_BYTES = 12 << 20
 MU = 50.0
@@ -218,6 +218,7 @@ def traverse(n_buckets: int, n_tokens: int, n_words: int):
 def score_texts(docs: DataFrame) -> DataFrame:
     """Learns from the training fold of ``docs`` and scores every row."""
     spark = docs.sparkSession
+    batch_bytes(spark, BLOCK_BYTES)
     n_buckets = min(1 << 15, 2 * partitions(spark))
     rows = docs.select("doc_id", "text").mapInArrow(cut(n_buckets), ROWS_DDL)
     back = materialize(rows.groupBy("place").applyInArrow(total, BACK_DDL), "ngrams")

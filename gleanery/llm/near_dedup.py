@@ -33,10 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrays
-from .common import materialize, read
+from .common import batch_bytes, materialize, read
 from .components import components
 
 WIDTH, ERRORS, MISS = 5, 1, 1e-5
+BATCH_BYTES = 4 << 20
 #: Document numbers up to this count (8 bytes each) are broadcast to pick their texts; more are shuffled.
 BROADCAST_ROWS = 500_000
 #: 2**COUNTER_BITS counters of 4 bytes are broadcast, whatever the input.
@@ -74,26 +75,30 @@ def _sign(n: int, size: int):
     mul = rng.integers(1, 2**63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 2**63, size, dtype=np.uint64)
 
+    def signed(ids: pa.Array, text: pa.Array) -> pa.RecordBatch:
+        sets = shingle_sets(text, n)
+        lengths = np.array([len(s) for s in sets], np.int64)
+        some = np.flatnonzero(lengths)
+        sig = np.zeros((len(some), size), "<u2")
+        if len(some):
+            flat, first = np.concatenate([sets[k] for k in some]), np.cumsum(lengths[some]) - lengths[some]
+            for k in range(size):
+                sig[:, k] = arrays.mix(np.minimum.reduceat(flat * mul[k] + add[k], first)) & np.uint64(0xFFFF)
+        found = dict(zip(some.tolist(), sig, strict=True))
+        return pa.RecordBatch.from_arrays(
+            [
+                ids,
+                pa.array(lengths, pa.int64()),
+                pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
+                pa.array([found[k].tobytes() if k in found else None for k in range(len(sets))], pa.binary()),
+            ],
+            ["doc_id", "n_shingles", "class", "signature"],
+        )
+
     def run(batches):
         for b in batches:
-            sets = shingle_sets(b.column("text"), n)
-            lengths = np.array([len(s) for s in sets], np.int64)
-            some = np.flatnonzero(lengths)
-            sig = np.zeros((len(some), size), "<u2")
-            if len(some):
-                flat, first = np.concatenate([sets[k] for k in some]), np.cumsum(lengths[some]) - lengths[some]
-                for k in range(size):
-                    sig[:, k] = arrays.mix(np.minimum.reduceat(flat * mul[k] + add[k], first)) & np.uint64(0xFFFF)
-            signed = dict(zip(some.tolist(), sig, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("doc_id"),
-                    pa.array(lengths, pa.int64()),
-                    pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.array([signed[k].tobytes() if k in signed else None for k in range(len(sets))], pa.binary()),
-                ],
-                ["doc_id", "n_shingles", "class", "signature"],
-            )
+            for part in arrays.slices(b, "text"):
+                yield signed(part.column("doc_id"), part.column("text"))
 
     return run
 
@@ -122,7 +127,7 @@ def _index(chunks: int):
 def _confirm(n: int, percent: int):
     def run(batches):
         last: tuple = (None, None)
-        for b in batches:
+        for b in (part for whole in batches for part in arrays.slices(whole, "x_text")):
             x, y = b.column("x"), b.column("y")
             own, keep = shingle_sets(b.column("x_text"), n), []
             for k, s in enumerate(own):
@@ -159,7 +164,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_ROWS else ids
 
     def classed(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in arrays.slices(whole, "text")):
             yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in shingle_sets(b.column("text"), n)], pa.int64()), b.column("text")], ["class", "text"])
 
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(classed, "class long, text string")
@@ -183,7 +188,7 @@ def _prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
     spark = texts.sparkSession
 
     def count(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in arrays.slices(whole, "text")):
             sets = shingle_sets(b.column("text"), n)
             i, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]) >> np.uint64(64 - COUNTER_BITS), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(c.astype(np.int64))], ["i", "c"])
@@ -194,7 +199,7 @@ def _prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
     sent = spark.sparkContext.broadcast(counters)
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in arrays.slices(whole, "text")):
             out = []
             for s in shingle_sets(b.column("text"), n):
                 rare = np.argsort(sent.value[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], kind="stable")  # ties by hash
@@ -208,6 +213,7 @@ def _prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for each row; linked are sets whose Jaccard similarity is ``percent`` / 100 or more."""
+    batch_bytes(docs.sparkSession, BATCH_BYTES)
     chunks = chunks_for(percent)
     size, distance = chunks * WIDTH, chunks * (ERRORS + 1) - 1
     signed = materialize(docs.select("doc_id", "text").mapInArrow(_sign(n, size), "doc_id long, n_shingles long, class long, signature binary"), "signatures")

@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import arrays
-from .common import materialize, read
+from .common import batch_bytes, materialize, read
 
 BITS, TRAIN_ROWS, EPOCHS, FOLDS = 20, 12_000, 4, 5
 THRESHOLD = 0.3
+BATCH_BYTES = 4 << 20
 SCALE = 16.0
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.1
 
@@ -101,6 +102,7 @@ def score_batch(text: pa.Array, w: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> np.ndarray:
     """The weights (2**BITS + 1 floats: 4 MB, whatever the input). Trained in one task over at most ``train_rows`` rows."""
+    batch_bytes(docs.sparkSession, BATCH_BYTES)
     seen = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("y"))
     seen = seen.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0)
     chosen = materialize(seen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows), "labelled")
@@ -116,6 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, epochs
                     i, x = as_row(index[s:e])
                     packed.append(i.astype(np.int32).tobytes() + x.astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y").cast(pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "y", "packed"])
+            arrays.trim()
 
     def learn(table):
         table = table.combine_chunks()
@@ -135,11 +138,13 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, epochs
 
 def score(docs: DataFrame, weights: np.ndarray, column: str = "score") -> DataFrame:
     """``docs`` with ``column``, a name of its own, added last."""
+    batch_bytes(docs.sparkSession, BATCH_BYTES)
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score_batch(b.column("text"), sent.value), pa.float64())], [*b.schema.names, column])
+            arrays.trim()
 
     return docs.mapInArrow(run, StructType([*docs.schema, StructField(column, DoubleType())]))
 
