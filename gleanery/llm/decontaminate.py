@@ -7,7 +7,8 @@ item that stand at the same distance form an alignment, and count only if their
 are consistent: the item's values map one to one to the document's, so a question asked
 again with other names and numbers is caught, and a chance likeness is not. A second
 view of the same windows, lower-cased and without placeholders, catches copies whose
-case was changed.
+case was changed. A window that is the item's word for word counts on its own, whatever
+was changed elsewhere in the document: only alignments without one rest on their slots.
 
 Only document windows that a bit map of the benchmark's hashes lets through leave the
 scan; its size is fixed, whatever the benchmark's. Equal windows of several items are
@@ -150,10 +151,11 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = rows.mapInArrow(scan, WINDOWS).alias("d").join(known.alias("k"), F.col("d.hash") == F.col("k.hash"))
     found = found.filter(F.size("d.slots") == F.size("k.slots"))
     found = found.select("id", "digest", F.col("item.id").alias("item_id"), (F.col("at") - F.col("item.at")).alias("shift"), F.arrays_zip(F.col("k.slots").alias("i"), F.col("d.slots").alias("d")).alias("slots"))
+    same = F.forall("slots", lambda s: s["i"] == s["d"])  # so of each window as it is, which has no slots
     pairs = F.array_distinct(F.flatten(F.collect_set("slots")))
-    aligned = found.groupBy("id", "digest", "item_id", "shift").agg(pairs.alias("slots"))
+    aligned = found.groupBy("id", "digest", "item_id", "shift").agg(pairs.alias("slots"), F.max(same).alias("verbatim"))
     one_to_one = (F.size(F.array_distinct("slots.i")) == F.size("slots")) & (F.size(F.array_distinct("slots.d")) == F.size("slots"))
-    aligned = aligned.filter(one_to_one).select(F.col("id").alias("doc_id"), "digest", "item_id", F.forall("slots", lambda s: s["i"] == s["d"]).alias("exact"))
+    aligned = aligned.filter(F.col("verbatim") | one_to_one).select(F.col("id").alias("doc_id"), "digest", "item_id", same.alias("exact"))
     return aligned.groupBy("doc_id", "digest", "item_id").agg(F.max("exact").alias("exact"))
 
 

@@ -43,3 +43,17 @@ def test_whole_table_against_plain_windows(spark):
     want = {i for i, t in zip(docs["doc_id"], docs["text"], strict=True) if grams(tok(t)) & items}
     got = dc.op6_decontaminate(spark, sf).collect()
     assert len(got) == len(docs["doc_id"]) and {r.doc_id for r in got if r.contaminated} == want
+
+
+def test_verbatim_windows_count_whatever_changed_elsewhere(spark):
+    item = "Alice has 3 red apples and 5 green pears in one big basket near the old barn while Bob counts 5 brown eggs for Alice"
+    texts = [
+        (1, item.replace("has 3", "has 5")),  # 3 -> 5 where a 5 stays 5; "red ... eggs" stands word for word
+        (2, item.replace("for Alice", "for Carol")),  # one of two occurrences of a name
+        (3, MIXED),  # no 13 words in a row as they were
+        (4, item),
+    ]
+    got = {r[0]: r for r in run(spark, texts, [(8, item), (9, ITEM)])}
+    assert got[1] == (1, True, 1, 8, False) and got[2] == (2, True, 1, 8, False)
+    assert not got[3][1]
+    assert got[4] == (4, True, 1, 8, True)
