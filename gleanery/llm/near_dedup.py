@@ -29,11 +29,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrays
-from .common import batch_bytes, materialize, read
+from .common import batch_bytes, free, materialize, read, text_or_empty
 from .components import components
 
 WIDTH, ERRORS, MISS = 5, 1, 1e-5
@@ -75,7 +75,8 @@ def _sign(n: int, size: int):
     mul = rng.integers(1, 2**63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 2**63, size, dtype=np.uint64)
 
-    def signed(ids: pa.Array, text: pa.Array) -> pa.RecordBatch:
+    def signed(part: pa.RecordBatch) -> pa.RecordBatch:
+        text = part.column("text")
         sets = shingle_sets(text, n)
         lengths = np.array([len(s) for s in sets], np.int64)
         some = np.flatnonzero(lengths)
@@ -87,18 +88,18 @@ def _sign(n: int, size: int):
         found = dict(zip(some.tolist(), sig, strict=True))
         return pa.RecordBatch.from_arrays(
             [
-                ids,
+                *part.columns[:-1],
                 pa.array(lengths, pa.int64()),
                 pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
                 pa.array([found[k].tobytes() if k in found else None for k in range(len(sets))], pa.binary()),
             ],
-            ["doc_id", "n_shingles", "class", "signature"],
+            [*part.schema.names[:-1], "n_shingles", "class", "signature"],
         )
 
     def run(batches):
         for b in batches:
             for part in arrays.slices(b, "text"):
-                yield signed(part.column("doc_id"), part.column("text"))
+                yield signed(part)
 
     return run
 
@@ -211,12 +212,18 @@ def _prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
     return texts.mapInArrow(run, "class long, shingle long, at long")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for each row; linked are sets whose Jaccard similarity is ``percent`` / 100 or more."""
+def _signed(docs: DataFrame, n: int, percent: int, *more: Column) -> DataFrame:
+    """``doc_id``, the long columns ``more``, ``n_shingles``, ``class`` and ``signature`` of each row."""
     batch_bytes(docs.sparkSession, BATCH_BYTES)
+    rows = docs.select("doc_id", *more, "text")
+    names = ", ".join(f"{c} long" for c in rows.columns[:-1])
+    return materialize(rows.mapInArrow(_sign(n, chunks_for(percent) * WIDTH), f"{names}, n_shingles long, class long, signature binary"), "signatures")
+
+
+def _labels(docs: DataFrame, signed: DataFrame, n: int, percent: int) -> DataFrame:
+    """``class``, ``doc_id`` (its smallest) and ``label`` (of its component) for each class of rows with ids."""
     chunks = chunks_for(percent)
-    size, distance = chunks * WIDTH, chunks * (ERRORS + 1) - 1
-    signed = materialize(docs.select("doc_id", "text").mapInArrow(_sign(n, size), "doc_id long, n_shingles long, class long, signature binary"), "signatures")
+    distance = chunks * (ERRORS + 1) - 1
     classes = signed.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     classes = materialize(classes, "classes")
     reps = classes.select("class", "doc_id")
@@ -255,9 +262,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     more = _linked(texts, cross, n, percent)
     found = components(links.unionByName(more))
 
-    # the smallest doc_id of each component, and of each class outside any
     label = reps.join(found.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    label = materialize(label, "labels")
+    return materialize(label, "labels")
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for each row; linked are sets whose Jaccard similarity is ``percent`` / 100 or more."""
+    signed = _signed(docs, n, percent)
+    label = _labels(docs, signed, n, percent)
+    # the smallest doc_id of each component, and of each class outside any
     smallest = label.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = label.join(smallest, "label").select("class", "component_id")
     rows = signed.select("doc_id", "n_shingles", "class").join(named, "class", "left")
@@ -266,9 +279,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group: its smallest ``doc_id``. Rows of a null ``doc_id`` stay."""
-    gone = near_duplicates(docs, n, percent).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one document of each group: its smallest ``doc_id``, and of that id's sets one. Rows that repeat
+    a ``doc_id`` are judged each by its own text; those whose sets are equal stay or go together, and rows of a null
+    ``doc_id`` stay."""
+    digest = free("_digest", docs.columns)
+    signed = _signed(docs, n, percent, F.xxhash64(text_or_empty()).alias(digest))
+    label = _labels(docs, signed, n, percent)
+    staying = label.groupBy("label").agg(F.min(F.struct("doc_id", "class")).alias("stays"))
+    named = label.join(staying, "label").select("class", "stays")
+    rows = signed.filter("doc_id is not null").select("doc_id", digest, "class").join(named, "class")
+    gone = rows.filter((F.col("class") != F.col("stays.class")) | (F.col("doc_id") != F.col("stays.doc_id"))).select("doc_id", digest).distinct()
+    own = docs.withColumn(digest, F.xxhash64(text_or_empty()))
+    return own.join(gone, ["doc_id", digest], "left_anti").select(*docs.columns)
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,20 @@ def test_null_ids_and_repeats(spark):
     assert nd.drop_near_copies(docs, 3, 85).count() == 4
 
 
+def test_rows_of_one_id_are_judged_each_by_its_own_text(spark):
+    word = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(1, word("a")), (2, word("a") + " more"), (2, word("b")), (2, word("c"))]  # one row of id 2 is a near copy
+    rows += [(3, word("d")), (3, word("d") + " more"), (4, word("d") + " less")]  # near copies that share an id
+    rows += [(None, word("b")), (2, None), (2, "")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _digest string")
+    kept = nd.drop_near_copies(docs, 3, 85)
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert kept.columns == docs.columns
+    of_three = [r for r in got if r[0] == 3]
+    assert len(of_three) == 1 and of_three[0] in rows
+    assert [r for r in got if r[0] != 3] == sorted([rows[k] for k in (0, 2, 3, 7, 8, 9)], key=str)
+
+
 def test_whole_table(spark):
     sf = "/root/testdata/sf0.01"
     t = pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
