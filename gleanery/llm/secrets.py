@@ -4,8 +4,9 @@ Strong spans (assignments, access ids, long hexadecimal runs) are reported on th
 own. Weak candidates - short ids and logins, short or loosely formed secrets,
 endpoints - mean little alone; they are reported only where complementary parts
 stand within ``SCOPE`` code points of one another: an identifier beside a secret, an
-endpoint beside both. The parts are interval-joined by cells of that width, so a part
-meets at most the parts that fit into three cells, however long its text is.
+endpoint beside both. The gap counts from the end of one part to the start of the other.
+The parts are interval-joined by cells of that width at both ends, so a part meets at
+most the parts that end or start in four cells, however long its text or it is.
 
 Defined results: a null text is empty and has no spans; repeated rows get the same
 spans each; null ids are kept; overlapping candidates of different kinds are all
@@ -26,12 +27,14 @@ SCOPE = 200
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-WEAK_ID = r"""(?i:access_?key_?id|client_?id|key_?id|username|user|login)["']?\x20{0,8}[:=]\x20{0,8}["']?[A-Za-z0-9_.@-]{4,64}|AKIA[A-Z0-9]{8,13}(?![A-Z0-9])"""
+#: Where the next part of a connection string begins; a loosely formed value ends before it.
+NEXT = r"""[;&,]["']?(?i:access_?key_?id|client_?id|key_?id|username|user|login|host|endpoint|server)["']?\x20*+[:=]"""
+WEAK_ID = r"""(?i:access_?key_?id|client_?id|key_?id|username|user|login)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9_.@-]{4,}+|AKIA[A-Z0-9]{8,13}(?![A-Z0-9])"""
 WEAK_SECRET = (
-    r"""(?i:password|passwd|pwd|passphrase|secret|token|api_?key|private_?key)["']?\x20{0,8}[:=]\x20{0,8}["']?[^\s"']{4,64}"""
-    r"""|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,63}[0-9])(?=[a-z0-9+/_-]{0,63}[A-Z])(?=[A-Z0-9+/_-]{0,63}[a-z])[A-Za-z0-9+/_-]{20,64}={0,2}(?![A-Za-z0-9+/_=-])"""
-)
-ENDPOINT = r"""(?i:https?|jdbc:[a-z]{2,12}|postgres|mysql|redis|mongodb|amqp)://[A-Za-z0-9.:@_-]{3,120}|(?i:host|endpoint|server)["']?\x20{0,8}[:=]\x20{0,8}["']?[A-Za-z0-9.-]{4,120}(?::[0-9]{1,5})?"""
+    r"""(?i:password|passwd|pwd|passphrase|secret|token|api_?key|private_?key)["']?\x20*+[:=]\x20*+["']?(?:(?!%s)[^\s"']){4,}+"""
+    r"""|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])"""
+) % NEXT
+ENDPOINT = r"""(?i:https?|jdbc:[a-z]{2,}+|postgres|mysql|redis|mongodb|amqp)://[A-Za-z0-9.:@_-]{3,}+|(?i:host|endpoint|server)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9.-]{4,}+(?::[0-9]{1,5})?"""
 
 STRONG = {"assign": 0, "access": 1, "hex": 2}
 WEAK = {"weak_id": 3, "weak_secret": 4, "endpoint": 5}
@@ -56,21 +59,22 @@ def _parts(docs: DataFrame) -> DataFrame:
 
 
 def _near(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Interval semi-join: rows of ``a`` (doc_id, digest, span) that stand apart from and within SCOPE of a row of ``b``."""
-    left = a.withColumn("cell", F.floor(F.col("span.s") / SCOPE))
-    right = b.select(
-        F.col("doc_id").alias("b_id"),
-        F.col("digest").alias("b_digest"),
-        F.col("span").alias("b_span"),
-        F.explode(F.array(*[F.floor(F.col("span.s") / SCOPE) + d for d in (-1, 0, 1)])).alias("b_cell"),
-    )
-    x, y = left["span"], right["b_span"]
+    """Interval semi-join: rows of ``a`` (doc_id, digest, span) that stand apart from a row of ``b`` with a gap of at most SCOPE.
+
+    Where ``a`` comes first (side 0) its end meets the other's start, else its start the other's end; a row may be given once a side."""
+    cell = lambda at, d=0: F.floor(at / SCOPE) + d
+    place = lambda side, at, d=0: F.struct(F.lit(side).alias("side"), cell(at, d).alias("cell"))
+    x, y = F.col("span"), F.col("b_span")
+    left = a.withColumn("place", F.explode(F.array(place(0, x["e"]), place(1, x["s"]))))
+    right = b.select(F.col("doc_id").alias("b_id"), F.col("digest").alias("b_digest"), F.col("span").alias("b_span"))
+    right = right.withColumn("b_place", F.explode(F.array(*[place(0, y["s"], d) for d in (-1, 0)], *[place(1, y["e"], d) for d in (0, 1)])))
+    gap = F.when(F.col("place.side") == 0, y["s"] - x["e"]).otherwise(x["s"] - y["e"])
     met = left.join(
         right,
-        left["doc_id"].eqNullSafe(right["b_id"]) & (left["digest"] == right["b_digest"]) & (left["cell"] == right["b_cell"]) & apart(x, y) & (F.abs(x["s"] - y["s"]) <= SCOPE),
+        left["doc_id"].eqNullSafe(right["b_id"]) & (left["digest"] == right["b_digest"]) & (left["place"] == right["b_place"]) & gap.between(0, SCOPE),
         "left_semi",
     )
-    return met.drop("cell")
+    return met.drop("place")
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:

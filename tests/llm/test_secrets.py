@@ -39,6 +39,24 @@ def test_weak_parts_are_linked_only_within_the_scope(spark):
     assert got[10].n_linked == 0 and got[11].n_linked == 0
 
 
+def test_long_parts_are_whole_and_linked_from_their_ends(spark):
+    key = ("Ab3" * 40)[:86] + "=="
+    texts = [
+        f"user: alice {key} host: db.example.com",  # a storage key without a keyword
+        f"user: alice private_key: {'x' * 90} there",
+        f"token: {'aB3.' * 100} user: alice",  # a strong part longer than the scope, then an id
+        f"pwd={'q' * 90};user=alice;server=db.example.com",
+        "user: alice " + "w " * 150 + f"token: {'aB3.' * 100}",  # a gap beyond the scope
+        "aB1" * 40_000 + " pwd=" + "z" * 100_000 + " user" + " " * 50_000 + "x",
+    ]
+    got = {r.doc_id: r for r in result(spark, rows(spark, texts))}
+    assert got[0].spans == "weak_id:0:11,weak_secret:12:100,endpoint:101:121"
+    assert got[1].spans == "weak_id:0:11,weak_secret:12:115"
+    assert got[2].spans == "assign:0:407,weak_id:408:419"
+    assert got[3].spans == "weak_secret:0:94,weak_id:95:105,endpoint:106:127"
+    assert got[4].n_linked == 0 and got[5].n_linked == 0
+
+
 def test_repeats_nulls_and_empty(spark):
     twice = spark.createDataFrame([(1, TEXTS[9]), (1, TEXTS[9]), (None, TEXTS[9]), (1, None)], "doc_id long, text string")
     got = result(spark, twice)
