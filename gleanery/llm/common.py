@@ -8,6 +8,8 @@ native operators (secrets, exact duplicates, personal data) use just ``read``,
 from __future__ import annotations
 
 import atexit
+import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -29,8 +31,11 @@ def _own_dir() -> str:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; one of our own only where that is unset (local tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or _own_dir()
+    """The shared folder named in ``spark.checkpoint.dir``; one of our own only where that is unset and the master is local (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or _own_dir()
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -54,6 +59,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of finished frames that nothing refers to any more, rather than whenever the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def buckets(docs: DataFrame, each: int, column: str = "text") -> int:
+    """How many buckets of about ``each`` bytes of text the table fills; at least the session's shuffle partitions."""
+    size = docs.select(F.sum(F.octet_length(column).cast("long"))).collect()[0][0] or 0
+    return max(partitions(docs.sparkSession), -(-size // each))
+
+
 def batch_bytes(spark: SparkSession, size: int) -> None:
     """From now on Spark hands Python workers batches of about ``size`` bytes: rows alone (10,000 by default) do not bound them."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

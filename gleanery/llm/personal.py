@@ -5,12 +5,14 @@ them, high-recall generators propose overlapping candidates: obfuscated addresse
 groups of digits of any layout, addresses of eight groups. Each candidate has flags for
 its format and context. Boosted trees learn from the corpus itself which flags go with
 spans that passed a strict check: the flags that the checks decide are left out, so
-that the trees judge the rest by layout and the words before. Candidates above the
-calibrated threshold are added; a candidate over a base span adds nothing.
+that the trees judge the rest by layout and the words before. Texts fall into two folds
+by their content, copies together. Each fold's candidates are judged by the trees of the
+other, and per kind of candidate the threshold is set on those held-out scores. What
+reaches it is added; a candidate over a base span adds nothing.
 
 The flags are few, so that all candidates of the corpus fold into at most
-2**len(FLAGS) counted rows, whatever its size; the trees are fitted on those counts
-exactly, without a sample, and scored as a sum of CASE expressions.
+2 * len(MORE) * 2**len(FLAGS) counted rows, whatever its size; the trees are fitted on
+those counts exactly, without a sample, and scored as a sum of CASE expressions.
 
 Defined results: a null text is empty and has no spans; repeated rows get the same
 spans each; null ids are kept; spans of different kinds may overlap; with no positive
@@ -19,13 +21,15 @@ candidate nothing is added; an empty table gives no rows; other columns are not
 
 from __future__ import annotations
 
+import functools
 import math
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, read, text_or_empty
-from .spans import apart, kinds, matches, written
+from .spans import kinds, matches, touches, written
 
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -85,6 +89,7 @@ def _candidates(docs: DataFrame) -> DataFrame:
     found = docs.select("doc_id", text_or_empty().alias("_text")).select(
         "doc_id",
         "_text",
+        F.pmod(F.xxhash64("_text"), F.lit(2)).cast("int").alias("fold"),
         kinds(matches(text, EMAIL), "email", 0).alias("email"),
         kinds(F.filter(matches(text, IP), lambda x: x["hit"].rlike(rf"^{PART}(?:\.{PART}){{3}}$")), "ip", 1).alias("ip"),
         kinds(F.filter(card, lambda x: _count(x["hit"]).between(13, 19) & _luhn(x["hit"])), "card", 2).alias("card"),
@@ -143,34 +148,65 @@ def _score(model: tuple, flags: Column) -> Column:
     return out
 
 
-def threshold(model: tuple, counts: list[tuple[int, float, float]]) -> float:
-    """The lowest score at and above which candidates passed a strict check with at least PRECISION, and LEAST of them or more; infinite if none."""
+def threshold(judged: list[tuple[float, float, float]]) -> float:
+    """Of (score, positives, negatives): the lowest score at and above which candidates passed a strict check with at least PRECISION, and LEAST of them or more; infinite if none.
+
+    Equal scores go together, as no threshold tells them apart."""
     found, p, n = math.inf, 0.0, 0.0
-    for s, pos, neg in sorted(((score(model, c[0]), c[1], c[2]) for c in counts), reverse=True):
-        p, n = p + pos, n + neg
+    by_score: dict[float, list[float]] = {}
+    for s, pos, neg in judged:
+        own = by_score.setdefault(s, [0.0, 0.0])
+        own[0] += pos
+        own[1] += neg
+    for s in sorted(by_score, reverse=True):
+        p, n = p + by_score[s][0], n + by_score[s][1]
         if p >= LEAST and p / (p + n) >= PRECISION:
             found = s
     return found
 
 
+def _added_up(counts) -> list[tuple[int, float, float]]:
+    out: dict[int, list[float]] = {}
+    for flags, p, n in counts:
+        own = out.setdefault(flags, [0.0, 0.0])
+        own[0] += p
+        own[1] += n
+    return [(f, *out[f]) for f in sorted(out)]
+
+
+def thresholds(models: list[tuple], counts: list[tuple[int, int, int, float, float]]) -> dict[int, float]:
+    """For each kind of candidate, the threshold at which those that the model of the other fold judged are good enough.
+
+    ``counts``: (fold, kind, flags, positives, negatives); ``models[fold]`` was fitted without that fold."""
+    out = {}
+    for kind in MORE.values():
+        judged = [(score(models[fold], flags), p, n) for fold, k, flags, p, n in counts if k == kind]
+        out[kind] = threshold(judged)
+    return out
+
+
 def find_personal(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id``, the counts, and the arrays ``base`` and ``added`` of ``struct<s, o, e, kind>``."""
     rows = materialize(_candidates(docs), "personal")
-    over = lambda x: F.exists("base", lambda b: ~apart(x, b))
-    rows = rows.withColumn("base", F.concat(*BASE))
-    each = F.explode(F.transform(F.concat(*MORE), lambda x: F.struct(x["flags"].alias("flags"), over(x).alias("good"))))
-    counts = rows.select("base", *MORE).select(each.alias("x")).groupBy("x.flags").agg(F.sum(F.col("x.good").cast("long")).alias("p"), F.count("*").alias("n"))
-    counts = [(r.flags, float(r.p), float(r.n - r.p)) for r in counts.orderBy("flags").collect()]  # at most 2**len(FLAGS) rows
-    model = fit_trees(counts)
-    least = threshold(model, counts)
+    over = lambda x: functools.reduce(or_, [touches(x, F.col(k)) for k in BASE])
+
+    def judged(kind: str, order: int) -> Column:
+        return F.transform(kind, lambda x: F.struct(F.lit(order).alias("kind"), x["flags"].alias("flags"), over(x).alias("good")))
+
+    seen = [judged(k, o) for k, o in MORE.items()]
+    each = rows.select("fold", F.explode(F.concat(*seen)).alias("x")).groupBy("fold", "x.kind", "x.flags").agg(F.sum(F.col("x.good").cast("long")).alias("p"), F.count("*").alias("n"))
+    counts = [(r.fold, r.kind, r.flags, float(r.p), float(r.n - r.p)) for r in each.orderBy("fold", "kind", "flags").collect()]  # at most 2 * len(MORE) * 2**len(FLAGS) rows
+    models = [fit_trees(_added_up(c[2:] for c in counts if c[0] != fold)) for fold in (0, 1)]
+    least = thresholds(models, counts)
 
     def added(kind: str, order: int) -> Column:
-        if least == math.inf:
+        if least[order] == math.inf:
             return kinds(F.filter(F.col(kind), lambda x: F.lit(False)), kind, order)
-        return kinds(F.filter(F.col(kind), lambda x: (_score(model, x["flags"]) >= least - 1e-9) & ~over(x)), kind, order)
+        good = lambda x: F.when(F.col("fold") == 0, _score(models[0], x["flags"])).otherwise(_score(models[1], x["flags"])) >= least[order] - 1e-9
+        return kinds(F.filter(F.col(kind), lambda x: good(x) & ~over(x)), kind, order)
 
     more = F.concat(*[added(k, o) for k, o in MORE.items()])
-    return rows.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], "base", F.array_distinct(more).alias("added"))
+    return rows.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], F.concat(*BASE).alias("base"), F.array_distinct(more).alias("added"))
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,11 +16,14 @@ Columns other than ``doc_id`` and ``text`` are not read.
 
 from __future__ import annotations
 
+import functools
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, read, text_or_empty
-from .spans import apart, kinds, matches, written
+from .spans import kinds, matches, touches, written
 
 SCOPE = 200
 
@@ -98,7 +101,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 
 def _clear(kind: str) -> Column:
-    return F.filter(F.col(kind), lambda w: ~F.exists(F.concat(*STRONG), lambda b: ~apart(w, b)))
+    free_of = lambda w: ~functools.reduce(or_, [touches(w, F.col(k)) for k in STRONG])
+    return F.filter(F.col(kind), free_of)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

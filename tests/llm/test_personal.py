@@ -67,3 +67,24 @@ def test_whole_table(spark, sf):
     assert len(got) == len(texts)
     for r in got:
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) == brute.personal(texts[r.doc_id])
+
+
+def test_thresholds_are_set_per_kind_on_scores_of_the_other_fold():
+    sure, unsure = 1 << 4, 1 << 5  # flags that go with strict spans, and that do not
+    counts = [(fold, kind, flags, float(p), float(n)) for fold in (0, 1) for kind, flags, p, n in ((5, sure, 100, 1), (5, unsure, 2, 300), (4, sure, 30, 20), (6, unsure, 0, 50))]
+    models = [personal.fit_trees(personal._added_up(c[2:] for c in counts if c[0] != fold)) for fold in (0, 1)]
+    least = personal.thresholds(models, counts)
+    for kind, at in least.items():  # a plain count over every possible threshold
+        judged = [(personal.score(models[f], x), p, n) for f, k, x, p, n in counts if k == kind]
+        good = [s for s, _, _ in judged if (p := sum(b for a, b, _ in judged if a >= s)) >= personal.LEAST and p >= personal.PRECISION * (p + sum(c for a, _, c in judged if a >= s))]
+        assert at == min(good, default=personal.math.inf)
+    assert least[5] < personal.math.inf and least[4] == least[6] == personal.math.inf
+    empty = personal.fit_trees([])
+    assert set(personal.thresholds([empty, empty], []).values()) == {personal.math.inf}
+
+
+def test_candidates_over_base_spans_add_nothing(spark):
+    texts = ["mail a@b.org, c@d.org or e@f.org; call phone +1 (555) 200-1000 or (555) 200-1001 now"] * 60
+    for r in run(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")):
+        spans = [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",")]
+        assert r.n_email == 3 and all(a[1] <= b[0] or b[1] <= a[0] for a in spans for b in spans if a != b)

@@ -58,3 +58,51 @@ def test_tables_go_to_the_shared_folder(spark):
     df = materialize(spark.range(5), "t")
     assert df.count() == 5 and work_dir(spark) in df.inputFiles()[0]
     assert free("_a", ["_A", "_a_"]) == "_a__"
+
+
+def test_span_positions_grow_no_faster_than_the_matches(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from gleanery.llm.spans import matches, touches
+
+    def seconds(n):
+        df = spark.createDataFrame([("7.é" * n,)], "t string").select(matches(F.col("t"), "[0-9]+").alias("m"))
+        df = df.select("m", F.filter("m", lambda x: touches(x, F.col("m"))).alias("hit"))
+        began = time.time()
+        r = df.collect()[0]
+        assert [x.s for x in r.m] == list(range(0, 3 * n, 3)) and len(r.hit) == n
+        return time.time() - began
+
+    seconds(1000)
+    few = seconds(10_000)
+    assert seconds(80_000) < 12 * max(few, 0.5)
+
+
+def test_touching_spans(spark):
+    from pyspark.sql import functions as F
+
+    from gleanery.llm.spans import touches
+
+    spans = [(2, 4), (4, 6), (9, 12)]
+    rows = [(s, e, spans[:k]) for s in range(14) for e in range(s + 1, 15) for k in range(4)]
+    df = spark.createDataFrame(rows, "s int, e int, b array<struct<s:int,e:int>>").select("*", touches(F.struct("s", "e"), F.col("b")).alias("hit"))
+    for r in df.collect():
+        assert r.hit == any(r.s < b.e and b.s < r.e for b in r.b), r
+
+
+def test_no_local_folder_beside_a_cluster():
+    import pytest
+
+    class Conf(dict):
+        def getConf(self):
+            return self
+
+    class Session:
+        conf = Conf()
+        sparkContext = Conf()
+
+    Session.sparkContext.master = "local-cluster[2,1,1024]"
+    with pytest.raises(ValueError):
+        work_dir(Session)
