@@ -1,8 +1,9 @@
 """Exact duplicates by progressive refinement, in DataFrame operations only.
 
-Texts are equal when identical after lower-casing A-Z. Rows are grouped by length,
-the rows left over by a hash of a short prefix, and only where both meet another
-row is the whole text normalised and hashed.
+Texts are equal when identical after lower-casing A-Z. Rows are grouped by length;
+only those whose length repeats give a hash of a short prefix and are grouped by both;
+and only where length and prefix meet another row is the whole text normalised and
+hashed. Of each level one row per key and task is shuffled.
 
 Defined results: a null text counts as empty, and all empty texts are copies of one
 another; of equal texts the row with the largest ``doc_id`` stays (null lowest); rows
@@ -30,16 +31,13 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 def duplicate_groups(docs: DataFrame) -> DataFrame:
     """One row per text that occurs twice or more: ``n_bytes``, ``text_sha256``, ``keep_id``, ``group_size``."""
     text = text_or_empty()
-    sized = docs.select(
-        F.octet_length(text).alias("n_bytes"),
-        F.xxhash64(ascii_lower(F.substring(text, 1, PREFIX_CHARS))).alias("prefix"),
-    )
-    # length, then prefix: both levels come from one map-side aggregate, so that a third of all rows is one row per task
-    pairs = materialize(sized.groupBy("n_bytes", "prefix").agg(F.count("*").alias("n")), "prefixes")
-    lengths = pairs.groupBy("n_bytes").agg(F.sum("n").alias("total")).filter("total > 1").select("n_bytes")
-    left = pairs.filter("n > 1").join(lengths, "n_bytes", "left_semi").select("n_bytes", "prefix")
-    survivors = docs.select(F.col("doc_id"), text.alias("text"), F.octet_length(text).alias("n_bytes"), F.xxhash64(ascii_lower(F.substring(text, 1, PREFIX_CHARS))).alias("prefix"))
-    survivors = survivors.join(_small(left, pairs.filter("n > 1").count()), ["n_bytes", "prefix"], "left_semi")
+    size = F.octet_length(text).alias("n_bytes")
+    lengths = materialize(docs.select(size).groupBy("n_bytes").agg(F.count("*").alias("n")).filter("n > 1").select("n_bytes"), "lengths")
+    heads = docs.select(size, F.substring(text, 1, PREFIX_CHARS).alias("head")).join(_small(lengths, lengths.count()), "n_bytes", "left_semi")
+    pairs = heads.select("n_bytes", F.xxhash64(ascii_lower(F.col("head"))).alias("prefix")).groupBy("n_bytes", "prefix").agg(F.count("*").alias("n"))
+    left = materialize(pairs.filter("n > 1").select("n_bytes", "prefix"), "prefixes")
+    survivors = docs.select(F.col("doc_id"), text.alias("text"), size, F.xxhash64(ascii_lower(F.substring(text, 1, PREFIX_CHARS))).alias("prefix"))
+    survivors = survivors.join(_small(left, left.count()), ["n_bytes", "prefix"], "left_semi")
     whole = survivors.select("doc_id", "n_bytes", F.sha2(ascii_lower(F.col("text")), 256).alias("text_sha256"))
     return whole.groupBy("n_bytes", "text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
 
@@ -61,7 +59,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without all but one row of each group of equal texts, all columns kept. Repeats of the row that stays go, too."""
+    """``docs`` without all but one row of each group of equal texts, all columns kept. Repeats of the row that stays go, too: of rows that share
+    ``doc_id`` and text but differ elsewhere, any one stays."""
     columns = docs.columns
     n_bytes, sha, keep, copy = (free(c, columns) for c in ("_n_bytes", "_sha", "_keep", "_copy"))
     text = text_or_empty()
