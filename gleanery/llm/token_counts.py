@@ -6,15 +6,22 @@ normalisation would alter counts; tokenizer: SHA-256 of its file). Stored counts
 joined by digest, the distinct texts without one are encoded, and their counts are
 appended to the cache for all later runs.
 
-Copies are folded before the shuffle, so a text that makes up a third of all rows
-reaches the encoder once. Defined results: null counts as empty; an empty text has 0
+Digests are looked up before any text moves. A few misses (BROADCAST_ROWS) are sent to
+the scan, so that only their texts are shuffled, and none where all are stored; beyond
+that, copies are folded map-side and the misses found in the same partitioning. Either
+way a text that makes up a third of all rows reaches the encoder once. Defined results: null counts as empty; an empty text has 0
 tokens; repeated rows get the same count each; an empty table gives no rows; columns
 other than ``doc_id`` and ``text`` are not read. Lost executors repeat their tasks;
 the append is committed as a whole, and a row stored twice is folded when read.
+
+The query keeps its cache in the folder that the setting CACHE_SETTING names, below the
+tokenizer's version, for all runs that share the setting; without it in one of its own
+below ``spark.checkpoint.dir``, which goes with the driver.
 """
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import json
 import re
@@ -25,9 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, text_or_empty, work_dir
+from .common import materialize, read, remove, text_or_empty, work_dir
 
 OVER = 1024
+CACHE_SETTING = "spark.gleanery.tokenCounts"
+#: Misses up to this count (some 60 bytes each) are broadcast.
+BROADCAST_ROWS = 200_000
 CACHE = "digest binary, version string, n_tokens long"
 #: Latin text without rare control characters, on which all Unicode tables agree; other texts go to the library itself.
 PLAIN = re.compile("[^\x09-\x0d\x20-\x7e\xa0-ɏ]")
@@ -119,8 +129,14 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str) -> DataFrame:
     stored = spark.read.schema(CACHE).parquet(cache).filter(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     text = text_or_empty()
     digest = F.unhex(F.sha2(text, 256))
-    distinct = docs.select(digest.alias("digest"), text.alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
-    misses = distinct.join(stored.select("digest"), "digest", "left_anti")
+    texts = docs.select(digest.alias("digest"), text.alias("text"))
+    fold = lambda df: df.groupBy("digest").agg(F.first("text").alias("text"))
+    if stored.isEmpty():
+        misses = fold(texts)
+    else:
+        unknown = materialize(docs.select(digest.alias("digest")).distinct().join(stored, "digest", "left_anti"), "misses")
+        few = unknown.count() <= BROADCAST_ROWS
+        misses = fold(texts.join(F.broadcast(unknown), "digest", "left_semi")) if few else fold(texts).join(unknown, "digest", "left_semi")
 
     def encode(batches):
         count = counter(tokenizer)
@@ -137,6 +153,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str) -> DataFrame:
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    cache = f"{work_dir(spark)}/gleanery-token-counts-{uuid.uuid4().hex}"
-    counted = count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    kept = spark.conf.get(CACHE_SETTING, None)
+    cache = f"{kept}/{version_of(path)}" if kept else f"{work_dir(spark)}/gleanery-token-counts-{uuid.uuid4().hex}"
+    if not kept:
+        atexit.register(remove, spark, cache)
+    counted = count_tokens(read(spark, sf_dir, "documents"), path, cache)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > OVER).alias("over_limit"))

@@ -38,3 +38,31 @@ def test_whole_table(spark, sf):
     want = dict(zip(table["doc_id"], library(table["text"]), strict=True))
     got = token_counts.op2_token_counts(spark, sf).collect()
     assert len(got) == len(want) and all(r.n_tokens == want[r.doc_id] for r in got)
+
+
+def test_a_second_run_uses_what_is_stored(spark, sf, tmp_path):
+    spark.conf.set(token_counts.CACHE_SETTING, str(tmp_path))
+    try:
+        first = sorted(token_counts.op2_token_counts(spark, sf).collect())
+        folder = f"{tmp_path}/{token_counts.version_of(JSON)}"
+        stored = spark.read.parquet(folder).count()
+        # a count that no encoder gives shows that the second run reads it
+        old = spark.read.parquet(folder).orderBy("digest").limit(1).selectExpr("digest", "version", "n_tokens + 1000000 AS n_tokens")
+        old.write.mode("append").parquet(folder)
+        again = sorted(token_counts.op2_token_counts(spark, sf).collect())
+        assert spark.read.parquet(folder).count() == stored + 1
+        assert [r.doc_id for r in first] == [r.doc_id for r in again] and sum(a != b for a, b in zip(first, again, strict=True)) > 0
+        plan = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+        assert token_counts.count_tokens(plan, JSON, folder).collect()[0].n_tokens == 1
+        assert spark.read.parquet(folder).count() == stored + 2
+    finally:
+        spark.conf.unset(token_counts.CACHE_SETTING)
+
+
+def test_many_misses_beside_stored_counts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_counts, "BROADCAST_ROWS", 0)
+    cache = str(tmp_path / "cache")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    token_counts.count_tokens(docs.limit(3), JSON, cache).collect()
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, JSON, cache).collect()} == dict(enumerate(library(TEXTS)))
+    assert spark.read.parquet(cache).count() == len(TEXTS) - 1
