@@ -11,7 +11,7 @@ the first ``train_rows`` in the order of a hash of ``doc_id`` (a documented boun
 row is scored). Neither labels nor lang, source or doc_id enter a score. Defined
 results: null and empty texts score what the bias alone gives; repeated documents get
 the same score each; null labels are ignored, and of several labels of a document the
-largest counts; with no labels at all every score is 0.5; empty tables give no rows.
+largest counts, of several texts of a labelled ``doc_id`` the greatest; with no labels at all every score is 0.5; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -106,7 +106,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, epochs
     seen = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("y"))
     seen = seen.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0)
     chosen = materialize(seen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows), "labelled")
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by train_rows
+    # bounded by train_rows: of rows that share a chosen doc_id the greatest text is learnt
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.max("text").alias("text"))
 
     def rows(batches):
         for b in batches:
