@@ -13,6 +13,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,6 +77,17 @@ def batch_bytes(spark: SparkSession, size: int) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, size: int):
+    """``batch_bytes`` for what runs within."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    batch_bytes(spark, size)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,231 +1,307 @@
 """Language-model scores by a weighted backoff automaton.
 
-States are the empty context and one context per word (and the text's start). A state
-has an arc for each word that followed it in training, weighted with the smoothed
-log-probability, and a failure arc to the empty state, weighted with the mass left for
-words that did not; the empty state has an arc for every word, add-one smoothed, with
-the unknown word's mass for the rest. A text is traversed once from left to right: at
-each word the state's own arc is taken, else the failure arc and then the empty
-state's; the word's context is the next state.
+A state is a context of up to ORDER - 1 tokens that was seen in training (the empty one
+and the text's start included). It has an arc for each token that followed it, weighted
+with the smoothed log-probability, and a failure arc to the state of its longest proper
+suffix, weighted with the mass left for tokens that did not follow; the empty state has
+an arc for every token. A text is traversed once from left to right, carrying the state
+and adding up weights: while the state has no arc for the token its failure arc is
+taken, then the arc, which leads to the state of the longest context now seen.
 
     p(w)      = (c(w) + 1) / (N + V + 1)
-    p(w | h)  = (c(h w) + MU p(w)) / (c(h) + MU)     arc, if c(h w) > 0
-              = MU / (c(h) + MU) * p(w)              failure arc, then arc
+    p(w | h)  = (c(h w) + MU p(w | h')) / (c(h) + MU)     arc, if c(h w) > 0
+              = MU / (c(h) + MU) * p(w | h')              failure arc to h', then its arc
 
-No n-gram is pruned. The corpus is cut into blocks of whole documents; a block sends
-its distinct n-grams and their training counts to buckets by hash and gets the totals
-back, so a word or pair in a third of all documents is one entry per block, and
-neither the model nor the vocabulary is ever held whole anywhere.
+h' is h without its first token; the probabilities of each state sum to 1, the unknown
+token's share included. No n-gram is pruned.
 
-N-grams are told apart by 48 hash bits beyond the bucket's number. Defined results: a
+The corpus is cut into blocks of whole documents, each a row of a table in the shared
+folder. A block sends its distinct n-grams and their training counts to buckets by hash
+and gets the totals back, so a word or pair in a third of all documents is one entry per
+block; it then builds the part of the automaton that its own texts can reach. Neither
+the model nor the vocabulary is ever held whole anywhere. The number of buckets follows
+the table's bytes, so that a bucket has some BUCKET_BYTES of text to answer for.
+
+Words are told apart by 96 bits (two hashes), longer n-grams by 64. Defined results: a
 null text is empty and has the end token alone; a null ``doc_id`` counts as training;
 repeated rows each count and get the same score; an empty table gives no rows; other
-columns are not read. Blocks are named by scan partition and number, so that a task
-repeated after a lost executor names them alike.
+columns are not read. Blocks are written before they are used, so that a task repeated
+after a lost executor finds the same ones.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrays
+from . import arrays, exchange
 from .bpe import numbers, pack, unpack
-from .common import batch_bytes, materialize, partitions, read
+from .common import batches_of, buckets, let_go, materialize, read
 
-BLOCK_BYTES = 12 << 20
-MU = 50.0
+ORDER, MU = 3, 50.0
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 6 << 20
 FOLDS, HELD_OUT = 7, 2
 END, START = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
-HEADER, DOCUMENT, REQUEST, TOTAL = 0, 1, 2, 3
-KEY_BITS = np.uint64(48)
-LOW = np.uint64((1 << 48) - 1)
-ROWS = pa.schema([("place", pa.string()), ("role", pa.int32()), ("block", pa.string()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("payload", pa.binary())])
-ROWS_DDL = "place string, role int, block string, bucket int, doc_id long, held_out boolean, payload binary"
-BACK_DDL = "role int, block string, bucket int, doc_id long, held_out boolean, payload binary"
+OWN = -1
+ROWS = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("payload", pa.binary())])
+ROWS_DDL = "block string, bucket int, payload binary"
 
 
 def held(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def keys(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
-    """Bucket number, then 48 bits of hash."""
-    return (((hashes >> KEY_BITS) * np.uint64(n_buckets)) >> np.uint64(16)) << KEY_BITS | hashes & LOW
-
-
-def pack_keys(sorted_keys: np.ndarray) -> bytes:
-    """Differences of ascending 48-bit keys, by byte plane."""
-    steps = np.diff(sorted_keys & LOW, prepend=np.uint64(0))
-    return steps.astype("<u8").view(np.uint8).reshape(-1, 8).T[:6].tobytes()
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(ROWS.types)], schema=ROWS)
 
 
-def unpack_keys(data: bytes) -> np.ndarray:
-    planes = np.zeros((8, len(data) // 6), np.uint8)
-    planes[:6] = np.frombuffer(data, np.uint8).reshape(6, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1).astype(np.uint64), dtype=np.uint64)
-
-
-def pairs(tokens: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
-    """Previous and own word number of each token, in one integer; ``start`` stands before a text."""
-    before = np.empty(len(tokens), np.int64)
-    before[1:] = tokens[:-1]
-    before[first[:-1]] = start
-    return before << 32 | tokens
+def cut(block_bytes: int):
+    """For mapInArrow: blocks of whole documents, one row each."""
 
+    def run(batches):
+        part, seq = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            data, at = arrays.column_bytes(batch.column("text"))
+            for a, b, some, own in arrays.chunks(data, at, block_bytes):
+                ids = batch.column("doc_id").slice(a, b - a)
+                known = np.array(ids.is_valid().to_pylist(), np.uint8)
+                text = zstandard.ZstdCompressor(level=5).compress(some.tobytes())
+                yield _rows([(f"{part}-{seq}", OWN, pack(np.diff(own), known.tobytes(), np.array(ids.fill_null(0).to_pylist(), "<i8").tobytes(), text))])
+                seq += 1
+                arrays.trim()
 
-def pair_hashes(pair: np.ndarray, words: np.ndarray) -> np.ndarray:
-    known = np.append(words, START)
-    return arrays.mix(arrays.mix(known[pair >> 32]) * np.uint64(3) + known[pair & 0xFFFFFFFF])
+    return run
 
 
-def cut(n_buckets: int):
-    """For mapInArrow: header, document and request rows of each block."""
+class Block:
+    """A block's documents, and its distinct n-grams of each length in the order of their hashes."""
 
-    def tokens_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        data, at = arrays.column_bytes(text)
-        out, lengths = [], []
+    def __init__(self, payload: bytes, order: int):
+        lengths, known, ids, text = unpack(payload)
+        at = np.concatenate(([0], np.cumsum(numbers(lengths).astype(np.int64))))
+        self.ids = pa.array(np.frombuffer(ids, "<i8"), mask=~np.frombuffer(known, np.uint8).astype(bool))
+        self.held = [held(i) for i in self.ids.to_pylist()]
+        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8)
+        hashes, checks, sizes = [], [], []
         for _, _, some, own in arrays.chunks(data, at):
             h, first = arrays.word_hashes(some, own)
-            out.append(np.insert(h, first[1:], END))
-            lengths.append(np.diff(first) + 1)
-        return np.concatenate(out), np.concatenate(([0], np.cumsum(np.concatenate(lengths))))
-
-    def block(name: str, ids: list, text: pa.Array) -> pa.RecordBatch:
-        hashes, first = tokens_of(text)
-        out = [held(i) for i in ids]
-        trains = np.repeat(~np.array(out, bool), np.diff(first))
-        words, number, count = np.unique(hashes, return_inverse=True, return_counts=True)
-        order = np.argsort(-count, kind="stable")  # frequent words get small numbers, which pack well
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        words, number = words[order], rank[number]
-        pair, at = np.unique(pairs(number, first, len(words)), return_inverse=True)
-        rows = [("d" + name, HEADER, name, -1, None, None, pack(words.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()))]
-        for k, (i, h) in enumerate(zip(ids, out, strict=True)):
-            rows.append(("d" + name, DOCUMENT, name, -1, i, h, pack(number[first[k] : first[k + 1]])))
-        parts = []
-        for h, n in ((words, np.bincount(number[trains], minlength=len(words))), (pair_hashes(pair, words), np.bincount(at[trains], minlength=len(pair)))):
-            key = keys(h, n_buckets)
-            by_key = np.argsort(key, kind="stable")
-            key = key[by_key]
-            parts.append((key, n[by_key], np.searchsorted(key >> KEY_BITS, np.arange(n_buckets + 1).astype(np.uint64))))
-        for b in range(n_buckets):
-            sent = []
-            for key, n, edge in parts:
-                sent += [pack_keys(key[edge[b] : edge[b + 1]]), n[edge[b] : edge[b + 1]]]
-            if len(sent[1]) or len(sent[3]):
-                rows.append((f"b{b}", REQUEST, name, b, None, None, pack(*sent)))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ROWS.types, strict=True)], schema=ROWS)
+            hashes.append(np.insert(h, first[1:], END))
+            sizes.append(np.diff(first) + 1)
+            checks.append(self._checks(some, own, h))
+        tokens = np.concatenate(hashes)
+        self.first = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+        trains = np.repeat(~np.array(self.held, bool), np.diff(self.first))
+        place = np.arange(len(tokens)) - np.repeat(self.first[:-1], np.diff(self.first))
+        words, at_word, self.number = np.unique(tokens, return_index=True, return_inverse=True)
+        check = dict(kv for c in checks for kv in c.items())
+        self.check = np.array([check.get(h, 0) for h in words.tolist()], np.uint32)
+        #: per length: hashes, training counts here, a place of each, and each place's n-gram (-1: none that long ends there)
+        self.grams = [(words, np.bincount(self.number[trains], minlength=len(words)), at_word, self.number)]
+        before = arrays.mix(tokens)
+        for k in range(2, order + 1):
+            context = np.concatenate((before[:1], before[:-1]))
+            if k == 2:
+                context[place == 0] = arrays.mix(np.array([START]))[0]
+            before = arrays.mix(context * np.uint64(3) + tokens)
+            whole = np.flatnonzero(place >= k - 2)
+            h, index, back = np.unique(before[whole], return_index=True, return_inverse=True)
+            of = np.full(len(tokens), -1, np.int64)
+            of[whole] = back
+            self.grams.append((h, np.bincount(back[trains[whole]], minlength=len(h)), whole[index], of))
+        self.begins = place == 0
+
+    @staticmethod
+    def _checks(data: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> dict[int, int]:
+        """A second hash of each distinct word."""
+        low = arrays.LOWER[data]
+        starts, ends, _ = arrays.word_bounds(low, at)
+        own, index = np.unique(hashes, return_index=True)
+        raw = low.tobytes()
+        return {h: zlib.crc32(raw[s:e]) for h, s, e in zip(own.tolist(), starts[index].tolist(), ends[index].tolist(), strict=True)}
+
+
+def ask(n_buckets: int, order: int):
+    """For mapInArrow on blocks: their distinct n-grams and training counts, by bucket."""
 
     def run(batches):
-        part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
-            text = batch.column("text")
-            _, at = arrays.column_bytes(text)
-            first = 0
-            while first < len(text):
-                past = max(first + 1, int(np.searchsorted(at, at[first] + BLOCK_BYTES, "right")) - 1)
-                yield block(f"{part}-{seq}", batch.column("doc_id").slice(first, past - first).to_pylist(), text.slice(first, past - first))
-                first, seq = past, seq + 1
+            for name, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
+                block = Block(payload.as_py(), order)
+                edge = [exchange.edges(h, n_buckets) for h, *_ in block.grams]
+                rows = []
+                for b in np.flatnonzero(sum(np.diff(e) for e in edge)).tolist():
+                    own = [slice(e[b], e[b + 1]) for e in edge]
+                    parts = [block.check[own[0]]]
+                    for (h, n, *_), some in zip(block.grams, own, strict=True):
+                        parts += [exchange.pack_ascending(h[some]), n[some]]
+                    rows.append((name, b, pack(*parts)))
+                yield _rows(rows)
+                del block
+                arrays.trim()
 
     return run
 
 
 def total(key, table):
-    """A bucket's requests are summed and answered, each in its own order; a block's own rows pass."""
-    if not key[0].as_py().startswith("b"):
-        return table.drop_columns(["place"])
+    """For applyInArrow on a bucket: its n-grams are totalled, and each block answered in its own order.
+
+    One more row, without a block, has the bucket's number of distinct training words and of training tokens."""
     asked = [unpack(p.as_py()) for p in table.column("payload")]
-    answers, seen = [[] for _ in asked], [0, 0]
-    for part in (0, 2):
-        own, counts = [unpack_keys(x[part]) for x in asked], [numbers(x[part + 1]).astype(np.int64) for x in asked]
-        _, at = np.unique(np.concatenate(own), return_inverse=True)
+    answers, stat = [[] for _ in asked], b""
+    for k in range(len(asked[0]) // 2):
+        own, counts = [exchange.unpack_ascending(x[1 + 2 * k]) for x in asked], [numbers(x[2 + 2 * k]).astype(np.int64) for x in asked]
+        every = np.concatenate(own)
+        if k:
+            _, at = np.unique(every, return_inverse=True)
+        else:
+            at = exchange.named(every, np.concatenate([numbers(x[0]) for x in asked]))
         sums = np.bincount(at, np.concatenate(counts)).astype(np.int64)
-        if part == 0:
-            seen = [int((sums > 0).sum()), int(sums.sum())]
-        done = 0
-        for x, k in zip(answers, own, strict=True):
-            x.append(sums[at[done : done + len(k)]])
-            done += len(k)
-    n = len(asked)
-    stat = b"".join(x.to_bytes(8, "little") for x in seen)
-    return pa.table(
-        {
-            "role": pa.array([REQUEST] * n + [TOTAL], pa.int32()),
-            "block": pa.array([*table.column("block").to_pylist(), None], pa.string()),
-            "bucket": pa.array([*table.column("bucket").to_pylist(), table.column("bucket")[0].as_py()], pa.int32()),
-            "doc_id": pa.nulls(n + 1, pa.int64()),
-            "held_out": pa.nulls(n + 1, pa.bool_()),
-            "payload": pa.array([*[pack(*x) for x in answers], stat], pa.binary()),
-        }
-    )
-
-
-def traverse(n_buckets: int, n_tokens: int, n_words: int):
-    """For applyInArrow on a block: builds its states' arcs and traverses its documents."""
+        if not k:
+            stat = int((sums > 0).sum()).to_bytes(8, "little") + int(sums.sum()).to_bytes(8, "little")
+        for x, part in zip(answers, np.split(sums[at], np.cumsum([len(x) for x in own])[:-1]), strict=True):
+            x.append(part)
+    bucket = table.column("bucket")[0].as_py()
+    rows = [(name, bucket, pack(*x)) for name, x in zip(table.column("block").to_pylist(), answers, strict=True)]
+    return pa.Table.from_batches([_rows([*rows, (None, bucket, stat)])])
+
+
+def _array(kind: str, x: np.ndarray) -> array:
+    out = array(kind)
+    out.frombytes(np.ascontiguousarray(x.astype({"i": np.int32, "d": np.float64}[kind])).tobytes())
+    return out
+
+
+class Automaton:
+    """The states and arcs for a block's n-grams, given their counts in the whole training part."""
+
+    def __init__(self, block: Block, counts: list[np.ndarray], n_tokens: int, n_words: int):
+        order, n = len(block.grams), len(block.grams[0][0])
+        end = np.flatnonzero(block.grams[0][0] == END)
+        texts = int(counts[0][end[0]]) if len(end) else 0
+        self.start, size = n + 1, n + 2
+        p = (counts[0] + 1) / (n_tokens + n_words + 1)
+        # a context not seen in training is no state: its longest suffix that was stands for it; after the end the text is over
+        goes_on = block.grams[0][0] != END
+        state = [np.where((counts[0] > 0) & goes_on, np.arange(n) + 1, 0)]
+        self.root_weight, self.root_next = _array("d", np.log10(p)), _array("i", state[0])
+        self.base = np.log10(p)
+        fail = [np.zeros(n + 2, np.int64)]
+        left = [np.concatenate(([0.0], np.log10(MU / (counts[0] + MU)), [np.log10(MU / (texts + MU))]))]
+        source, word, weight, target = [], [], [], []
+        for k in range(2, order + 1):
+            _, _, place, _ = block.grams[k - 1]
+            c, shorter = counts[k - 1], block.grams[k - 2]
+            suffix, context = shorter[3][place], shorter[3][place - 1]  # the (k - 1)-grams that end here and one token before
+            begins = block.begins[place]  # only for k = 2, as longer ones have a token before
+            context_count = np.where(begins, texts, counts[k - 2][context])
+            context_state = np.where(begins, self.start, state[k - 2][context])
+            p = (c + MU * p[suffix]) / (context_count + MU)
+            seen = np.flatnonzero(c > 0)
+            if k < order:
+                state.append(np.where((c > 0) & goes_on[block.number[place]], size + np.arange(len(c)), state[k - 2][suffix]))
+                size += len(c)
+                fail.append(state[k - 2][suffix])
+                left.append(np.log10(MU / (c + MU)))
+                leads = state[k - 1]
+            else:
+                leads = state[k - 2][suffix]
+            source.append(context_state[seen])
+            word.append(block.number[place[seen]])
+            weight.append(np.log10(p[seen]))
+            target.append(leads[seen])
+        source, word, weight, target = (np.concatenate(x) for x in (source, word, weight, target))
+        by = np.lexsort((word, source))
+        self.begin = _array("i", np.searchsorted(source[by], np.arange(size + 1)))
+        self.word, self.weight, self.next = _array("i", word[by]), _array("d", weight[by]), _array("i", target[by])
+        self.fail, self.fail_weight = _array("i", np.concatenate(fail)), _array("d", np.concatenate(left))
+
+    def step(self, state: int, word: int) -> tuple[float, int]:
+        """Weight and next state: failure arcs until there is an arc for the word, then that."""
+        total = 0.0
+        while state:
+            low, high = self.begin[state], self.begin[state + 1]
+            k = bisect_left(self.word, word, low, high)
+            if k < high and self.word[k] == word:
+                return total + self.weight[k], self.next[k]
+            total += self.fail_weight[state]
+            state = self.fail[state]
+        return total + self.root_weight[word], self.root_next[word]
+
+    def score(self, words: list[int]) -> float:
+        """One traversal from the start state; ``step`` written out, as it runs for every token."""
+        begin, arc, weight, leads, fail, left = self.begin, self.word, self.weight, self.next, self.fail, self.fail_weight
+        total, state = 0.0, self.start
+        for w in words:
+            while state:
+                high = begin[state + 1]
+                k = bisect_left(arc, w, begin[state], high)
+                if k < high and arc[k] == w:
+                    total += weight[k]
+                    state = leads[k]
+                    break
+                total += left[state]
+                state = fail[state]
+            else:
+                total += self.root_weight[w]
+                state = self.root_next[w]
+        return total
+
+
+def traverse(order: int, n_tokens: int, n_words: int):
+    """For applyInArrow on a block and its answers: its documents' scores."""
 
     def run(key, table):
-        role, payload, bucket = table.column("role").to_numpy(), table.column("payload"), table.column("bucket").to_numpy()
-        answers = np.flatnonzero(role == REQUEST)
-        words_in, pairs_in = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in answers[np.argsort(bucket[answers], kind="stable")]:
-            a, b = unpack(payload[int(k)].as_py())
-            words_in.append(numbers(a).astype(np.int64))
-            pairs_in.append(numbers(b).astype(np.int64))
-        head = unpack(payload[int(np.flatnonzero(role == HEADER)[0])].as_py())[0]
-        words = np.ascontiguousarray(np.frombuffer(head, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1).astype(np.uint64)
-        docs = np.flatnonzero(role == DOCUMENT)
-        own = [numbers(unpack(payload[int(k)].as_py())[0]).astype(np.int64) for k in docs]
-        first = np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int64)
-        number = np.concatenate(own)
-        pair, at = np.unique(pairs(number, first, len(words)), return_inverse=True)
-        # answers stand by key; back to the words' and pairs' own order
-        count, together = np.empty(len(words), np.int64), np.empty(len(pair), np.int64)
-        count[np.argsort(keys(words, n_buckets), kind="stable")] = np.concatenate(words_in)
-        together[np.argsort(keys(pair_hashes(pair, words), n_buckets), kind="stable")] = np.concatenate(pairs_in)
-        # the empty state's arcs, then each context's failure arc and own arcs
-        p = (count + 1) / (n_tokens + n_words + 1)
-        end = np.flatnonzero(words == END)
-        context = np.append(count, count[end[0]] if len(end) else 0)  # as many texts start as end
-        fail = np.log10(MU / (context + MU))
-        arc = np.where(together > 0, np.log10((together + MU * p[pair & 0xFFFFFFFF]) / (context[pair >> 32] + MU)), fail[pair >> 32] + np.log10(p[pair & 0xFFFFFFFF]))
-        base = np.log10(p)
+        by_bucket = np.argsort(table.column("bucket").to_numpy(), kind="stable").tolist()
+        block = Block(table.column("payload")[by_bucket[0]].as_py(), order)  # the block's own row comes first
+        parts = [unpack(table.column("payload")[k].as_py()) for k in by_bucket[1:]]
+        counts = [np.concatenate([numbers(x[k]) for x in parts]).astype(np.int64) for k in range(order)]
+        automaton = Automaton(block, counts, n_tokens, n_words)
+        scores = [automaton.score(block.number[s:e].tolist()) for s, e in zip(block.first[:-1].tolist(), block.first[1:].tolist(), strict=True)]
 
         def per_doc(x):
-            return np.add.reduceat(x, first[:-1])
+            return np.add.reduceat(x, block.first[:-1])
 
-        return pa.table(
+        out = pa.table(
             {
-                "doc_id": table.column("doc_id").take(pa.array(docs)),
-                "held_out": table.column("held_out").take(pa.array(docs)),
-                "n_tokens": pa.array(np.diff(first), pa.int64()),
-                "n_known": pa.array(per_doc((count[number] > 0).astype(np.int64)), pa.int64()),
-                "train_tokens": pa.array(np.full(len(docs), n_tokens), pa.int64()),
-                "base_score": pa.array(per_doc(base[number]), pa.float64()),
-                "score": pa.array(per_doc(arc[at]), pa.float64()),
+                "doc_id": block.ids,
+                "held_out": pa.array(block.held, pa.bool_()),
+                "n_tokens": pa.array(np.diff(block.first), pa.int64()),
+                "n_known": pa.array(per_doc((counts[0][block.number] > 0).astype(np.int64)), pa.int64()),
+                "train_tokens": pa.array(np.full(len(scores), n_tokens), pa.int64()),
+                "base_score": pa.array(per_doc(automaton.base[block.number]), pa.float64()),
+                "score": pa.array(scores, pa.float64()),
             }
         )
+        del block, automaton
+        arrays.trim()
+        return out
 
     return run
 
 
-def score_texts(docs: DataFrame) -> DataFrame:
+def score_texts(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Learns from the training fold of ``docs`` and scores every row."""
     spark = docs.sparkSession
-    batch_bytes(spark, BLOCK_BYTES)
-    n_buckets = min(1 << 15, 2 * partitions(spark))
-    rows = docs.select("doc_id", "text").mapInArrow(cut(n_buckets), ROWS_DDL)
-    back = materialize(rows.groupBy("place").applyInArrow(total, BACK_DDL), "ngrams")
-    stats = back.filter(F.col("role") == TOTAL).select("payload").mapInArrow(_stats, "words long, tokens long").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).collect()[0]
-    own = back.filter(F.col("role") != TOTAL)
-    run = traverse(n_buckets, stats.tokens or 0, stats.words or 0)
-    return own.groupBy("block").applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    n_buckets = buckets(docs, bucket_bytes)
+    with batches_of(spark, block_bytes):
+        blocks = materialize(docs.select("doc_id", "text").mapInArrow(cut(block_bytes), ROWS_DDL), "blocks")
+    with batches_of(spark, 1):  # a block at a time
+        asked = blocks.mapInArrow(ask(n_buckets, order), ROWS_DDL).repartition(n_buckets, "bucket")
+        back = materialize(asked.groupBy("bucket").applyInArrow(total, ROWS_DDL), "ngrams")
+    del asked
+    let_go(spark)
+    stats = back.filter("block is null").select("payload").mapInArrow(_stats, "words long, tokens long").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).collect()[0]
+    run = traverse(order, stats.tokens or 0, stats.words or 0)
+    both = blocks.unionByName(back.filter("block is not null"))
+    return both.groupBy("block").applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _stats(batches):
