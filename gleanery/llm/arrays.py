@@ -18,6 +18,8 @@ CHUNK = 1 << 20
 _rng = np.random.Generator(np.random.PCG64(20240521))
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
+#: A second table of byte values, for a second hash that is independent of the first.
+CHECK = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -93,10 +95,10 @@ def slices(batch: pa.RecordBatch, column: str, size: int = CHUNK) -> Iterator[pa
     trim()
 
 
-def running(data: np.ndarray) -> np.ndarray:
+def running(data: np.ndarray, values: np.ndarray = BYTE) -> np.ndarray:
     """Prefix sums from which ``stretch`` takes the hash of any stretch; one longer than ``data``."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE[data] * powers(len(data) + 1)[0][: len(data)], out=out[1:])
+    np.cumsum(values[data] * powers(len(data) + 1)[0][: len(data)], out=out[1:])
     return out
 
 

@@ -14,7 +14,9 @@ of a section share a core of bytes around the anchor and lie within a frame.
    HOT places is not gathered into one shard: its windows are counted by their hashes.
 
 Blocks of documents send distinct hashes and counts and get totals back, so that a
-passage in a third of all documents is one entry per block. Defined results: null counts
+passage in a third of all documents is one entry per block. Cores, frames and windows
+are told apart by 96 bits (two hashes). The number of buckets follows the bytes that
+go on, so that each answers for some BUCKET_BYTES of text. Defined results: null counts
 as empty; texts under LENGTH bytes lose nothing; matches never cross documents, overlaps
 within one count; rows that repeat are elsewhere to one another; null ids are kept; an
 empty table gives no rows; other columns are not read.
@@ -31,14 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrays, suffix_array
+from . import arrays, exchange, suffix_array
 from .bpe import numbers, pack, unpack
-from .common import materialize, partitions, read, text_or_empty
-from .lm import KEY_BITS, keys, pack_keys, unpack_keys
+from .common import buckets, materialize, read, text_or_empty
 
 LENGTH, GRAM, SECTION = 400, 64, 20
 HOT = 2000
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 #: Keys of documents up to this count (16 bytes each) are broadcast; more are shuffled.
 BROADCAST_ROWS = 500_000
 GRAMS = LENGTH - GRAM + 1
@@ -63,7 +64,7 @@ class Anchors:
 
     def __init__(self, data: np.ndarray, at: np.ndarray):
         self.data, self.at = data, at
-        self.sums = arrays.running(data)
+        self.sums, self.checks = arrays.running(data), arrays.running(data, arrays.CHECK)
         n = len(data)
         self.anchor = self.first = self.last = self.doc = np.zeros(0, np.int64)
         self.hash = np.zeros(0, np.uint64)
@@ -101,7 +102,9 @@ class Anchors:
         d = self.doc[self.of]
         whole = (self.frame_start >= self.at[d]) & (self.frame_end <= self.at[d + 1])
         self.frame = np.zeros(len(a), np.uint64)
+        self.core_check = self.check(self.core_start, self.core_end)
         w = np.flatnonzero(whole)
+        self.frame_check = self.check(self.frame_start[w], self.frame_end[w])
         self.frame[w] = arrays.mix(arrays.mix(arrays.stretch(self.sums, self.frame_start[w], self.frame_end[w]) ^ _FRAME) + mark[w])
 
     def windows_of(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,9 +115,16 @@ class Anchors:
         n = last - first + 1
         return arrays.ragged(first, n), np.repeat(np.arange(len(some)), n)
 
+    def check(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A second hash of stretches."""
+        return (arrays.mix(arrays.stretch(self.checks, start, end)) >> np.uint64(32)).astype(np.uint32)
+
     def window_keys(self, starts: np.ndarray) -> np.ndarray:
         return arrays.mix(arrays.stretch(self.sums, starts, starts + LENGTH) ^ _WINDOW)
 
+    def window_checks(self, starts: np.ndarray) -> np.ndarray:
+        return self.check(starts, starts + LENGTH)
+
 
 def anchor_counts(batches):
     """For mapInArrow: (anchor hash, document key, times) for each distinct anchor of a document."""
@@ -155,21 +165,30 @@ class Own:
 
 
 class Asked:
-    """Distinct hashes in the order of their keys, as sent to the buckets and answered."""
+    """Distinct hashes in order, as sent to the buckets and answered; a second hash goes with each."""
 
-    def __init__(self, hashes: np.ndarray, n_buckets: int):
-        self.key, self.back, self.count = np.unique(keys(hashes, n_buckets), return_inverse=True, return_counts=True)
-        self.edge = np.searchsorted(self.key >> KEY_BITS, np.arange(n_buckets + 1).astype(np.uint64))
+    def __init__(self, hashes: np.ndarray, checks: np.ndarray, n_buckets: int):
+        self.key, index, self.back, self.count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        self.check = checks[index]
+        self.edge = exchange.edges(self.key, n_buckets)
 
-    def part(self, b: int) -> tuple[bytes, np.ndarray]:
+    def part(self, b: int) -> tuple[bytes, np.ndarray, np.ndarray]:
         own = slice(self.edge[b], self.edge[b + 1])
-        return pack_keys(self.key[own]), self.count[own]
+        return exchange.pack_ascending(self.key[own]), self.check[own], self.count[own]
 
     def answered(self, totals: list[np.ndarray]) -> np.ndarray:
         """For each hash asked, how often it occurs."""
         return np.concatenate([np.zeros(0, np.int64), *totals])[self.back]
 
 
+def _totals(asked: list[tuple[bytes, bytes, bytes]]) -> list[np.ndarray]:
+    """For each block's part: how often each of its hashes occurs in all."""
+    own = [exchange.unpack_ascending(x[0]) for x in asked]
+    at = exchange.named(np.concatenate(own), np.concatenate([numbers(x[1]) for x in asked]))
+    totals = np.bincount(at, np.concatenate([numbers(x[2]) for x in asked])).astype(np.int64)
+    return np.split(totals[at], np.cumsum([len(x) for x in own])[:-1])
+
+
 def _joined(parts: list[np.ndarray], kind=np.uint64) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *parts])
 
@@ -178,14 +197,14 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ROWS.types, strict=True)], schema=ROWS)
 
 
-def ask_sections(n_buckets: int):
+def ask_sections(n_buckets: int, block_bytes: int):
     """For mapInArrow: blocks' own rows, and cores and frames to be counted."""
 
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
             data, at = arrays.column_bytes(batch.column("text"))
-            for a, b, some, own in arrays.chunks(data, at, BLOCK_BYTES):
+            for a, b, some, own in arrays.chunks(data, at, block_bytes):
                 name, seq = f"{part}-{seq}", seq + 1
                 payload = Own.packed(batch.column("doc_id").slice(a, b - a), batch.column("digest").slice(a, b - a), some, own)
                 rows = [("d" + name, name, -1, payload)]
@@ -198,23 +217,22 @@ def ask_sections(n_buckets: int):
 
 
 def _section_keys(own: Own, n_buckets: int) -> Asked:
-    found = [y for _, _, x in own.chunks() for y in (x.core, x.frame[x.frame != 0])]
-    return Asked(_joined(found), n_buckets)
+    hashes, checks = [], []
+    for _, _, x in own.chunks():
+        hashes += [x.core, x.frame[x.frame != 0]]
+        checks += [x.core_check, x.frame_check]
+    return Asked(_joined(hashes), _joined(checks, np.uint32), n_buckets)
 
 
 def count_keys(key, table):
     """For applyInArrow: a bucket's hashes are totalled and each block answered; blocks' own rows pass."""
     if not key[0].as_py().startswith("b"):
         return table.drop_columns(["place"])
-    asked = [unpack(p.as_py()) for p in table.column("payload")]
-    own = [unpack_keys(x[0]) for x in asked]
-    _, at = np.unique(np.concatenate(own), return_inverse=True)
-    totals = np.bincount(at, np.concatenate([numbers(x[1]) for x in asked])).astype(np.int64)
-    parts = np.split(totals[at], np.cumsum([len(x) for x in own])[:-1])
+    parts = _totals([unpack(p.as_py()) for p in table.column("payload")])
     return table.drop_columns(["place", "payload"]).append_column("payload", pa.array([pack(np.minimum(x, 2**32 - 1)) for x in parts], pa.binary()))
 
 
-def _settle(own: Own, asked: Asked, totals: list[np.ndarray]):
+def _settle(own: Own, asked: Asked, totals: list[np.ndarray], most: int):
     """Chunk by chunk: (documents, anchors, window starts known to repeat, sections for the shards, sections for counting)."""
     n, at = asked.answered(totals), 0
     for a, b, x in own.chunks():
@@ -227,7 +245,7 @@ def _settle(own: Own, asked: Asked, totals: list[np.ndarray]):
         # a settled section whose core has other frames too is shown to them, once for each frame
         shown = again[core[again] > frame[again]]
         unclear[shown[np.unique(x.frame[shown], return_index=True)[1]]] = True
-        yield a, b, x, x.windows_of(again)[0], np.flatnonzero(unclear & (core <= HOT)), np.flatnonzero(unclear & (core > HOT))
+        yield a, b, x, x.windows_of(again)[0], np.flatnonzero(unclear & (core <= most)), np.flatnonzero(unclear & (core > most))
 
 
 def _answers(table, parts: int) -> tuple[bytes, list[list[bytes]]]:
@@ -244,7 +262,7 @@ def _edges(x: Anchors, some: np.ndarray) -> tuple[np.ndarray, ...]:
     return before, x.core_start[some] - before, x.core_end[some], after - x.core_end[some]
 
 
-def ask_edges(n_buckets: int):
+def ask_edges(n_buckets: int, most: int):
     """For applyInArrow on a block with its totals: its own row with those, and what is still unclear, by core or window."""
 
     def run(key, table):
@@ -252,16 +270,18 @@ def ask_edges(n_buckets: int):
         own, name = Own(payload), key[0].as_py()
         totals = [numbers(p).astype(np.int64) for p in packed]
         asked = _section_keys(own, n_buckets)
-        cores, window_keys, texts, sizes = [], [], [], []
-        for _, _, x, _, shard, hot in _settle(own, asked, totals):
+        cores, core_checks, window_keys, window_checks, texts, sizes = [], [], [], [], [], []
+        for _, _, x, _, shard, hot in _settle(own, asked, totals, most):
             cores.append(x.core[shard])
+            core_checks.append(x.core_check[shard])
             window_keys.append(x.window_keys(x.windows_of(hot)[0]))
+            window_checks.append(x.window_checks(x.windows_of(hot)[0]))
             for start, length, size_at in zip(_edges(x, shard)[0::2], _edges(x, shard)[1::2], (0, 1), strict=True):
                 sizes.append((size_at, length))
                 texts.append((size_at, x.data[arrays.ragged(start, length)]))
-        core, windows = _joined(cores), Asked(_joined(window_keys), n_buckets)
+        core, check, windows = _joined(cores), _joined(core_checks, np.uint32), Asked(_joined(window_keys), _joined(window_checks, np.uint32), n_buckets)
         rows = [("d" + name, name, -1, pack(payload, np.concatenate([np.zeros(0, np.int64), *totals])))]
-        bucket = (keys(core, n_buckets) >> KEY_BITS).astype(np.int64)
+        bucket = exchange.bucket(core, n_buckets)
         order = np.argsort(bucket, kind="stable")
         edge = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
         side = []
@@ -270,7 +290,7 @@ def ask_edges(n_buckets: int):
             side.append((length, np.cumsum(length) - length, np.concatenate([np.zeros(0, np.uint8), *[t for j, t in texts if j == k]])))
         for b in np.flatnonzero(np.diff(edge) + np.diff(windows.edge)).tolist():
             some = order[edge[b] : edge[b + 1]]
-            parts = [core[some].astype("<u8").tobytes()]
+            parts = [core[some].astype("<u8").tobytes(), check[some]]
             for length, start, text in side:
                 parts += [length[some], text[arrays.ragged(start[some], length[some])].tobytes()]
             rows.append((f"b{b}", name, b, pack(*parts, *windows.part(b))))
@@ -279,14 +299,13 @@ def ask_edges(n_buckets: int):
     return run
 
 
-def sort_shard(core: np.ndarray, before: list[bytes], after: list[bytes]) -> np.ndarray:
-    """For each place of a core: a bit for each offset of the section whose window also stands at another place.
+def sort_shard(name: np.ndarray, before: list[bytes], after: list[bytes]) -> np.ndarray:
+    """For each place (``name``: the number) of a core: a bit for each offset of the section whose window also stands at another place.
 
     The shard's string holds, place by place, the bytes before the core, the core's own
     symbol, the bytes after it, and a separator."""
-    if not len(core):
+    if not len(name):
         return np.zeros(0, np.int64)
-    _, name = np.unique(core, return_inverse=True)
     string, middle = [], []
     for c, x, y in zip(name.tolist(), before, after, strict=True):
         string += [k + 2 for k in x]
@@ -297,7 +316,7 @@ def sort_shard(core: np.ndarray, before: list[bytes], after: list[bytes]) -> np.
     string.append(0)
     again = suffix_array.repeated(string, 259 + int(name.max()), SECTION)
     middle, n, m = np.array(middle), np.array([len(x) for x in before]), np.array([len(y) for y in after])
-    out = np.zeros(len(core), np.int64)
+    out = np.zeros(len(name), np.int64)
     for t in range(SECTION):  # t bytes before the core, SECTION - 1 - t after
         fits = (n >= t) & (m >= SECTION - 1 - t)
         out |= np.where(fits & again[np.where(fits, middle - t, 0)], 1 << t, 0)
@@ -315,31 +334,28 @@ def sort_shards(key, table):
         ends, text = np.cumsum(numbers(x[k]).astype(np.int64)).tolist(), x[k + 1]
         return [text[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
 
-    before, after = ([y for x in asked for y in split(x, k)] for k in (1, 3))
-    bits = np.split(sort_shard(_joined(core), before, after), np.cumsum([len(x) for x in core])[:-1])
-    own = [unpack_keys(x[5]) for x in asked]
-    totals = np.zeros(0, np.int64)
-    if sum(map(len, own)):
-        _, at = np.unique(np.concatenate(own), return_inverse=True)
-        totals = np.bincount(at, np.concatenate([numbers(x[6]) for x in asked])).astype(np.int64)[at]
-    parts = np.split(totals, np.cumsum([len(x) for x in own])[:-1])
+    before, after = ([y for x in asked for y in split(x, k)] for k in (2, 4))
+    name = exchange.named(_joined(core), _joined([numbers(x[1]) for x in asked], np.uint32))
+    bits = np.split(sort_shard(name, before, after), np.cumsum([len(x) for x in core])[:-1])
+    parts = _totals([x[6:] for x in asked])
     payload = [pack(b, np.minimum(t, 2)) for b, t in zip(bits, parts, strict=True)]
     return table.drop_columns(["place", "payload"]).append_column("payload", pa.array(payload, pa.binary()))
 
 
-def remove(n_buckets: int):
+def remove(n_buckets: int, most: int):
     """For applyInArrow on a block: what its documents lose, and the digest of what they keep."""
 
     def run(key, table):
         payload, (bits, counted) = _answers(table, 2)
         payload, totals = unpack(payload)
         own = Own(payload)
-        settled = list(_settle(own, _section_keys(own, n_buckets), [numbers(totals).astype(np.int64)]))
+        settled = list(_settle(own, _section_keys(own, n_buckets), [numbers(totals).astype(np.int64)], most))
         core = _joined([x.core[shard] for _, _, x, _, shard, _ in settled])
-        order = np.argsort(keys(core, n_buckets) >> KEY_BITS, kind="stable")
+        order = np.argsort(exchange.bucket(core, n_buckets), kind="stable")
         mask = np.zeros(len(core), np.int64)
         mask[order] = np.concatenate([np.zeros(0, np.int64), *[numbers(b).astype(np.int64) for b in bits]])
-        windows = Asked(_joined([x.window_keys(x.windows_of(hot)[0]) for _, _, x, _, _, hot in settled]), n_buckets)
+        starts = [(x, x.windows_of(hot)[0]) for _, _, x, _, _, hot in settled]
+        windows = Asked(_joined([x.window_keys(w) for x, w in starts]), _joined([x.window_checks(w) for x, w in starts], np.uint32), n_buckets)
         times = windows.answered([numbers(c).astype(np.int64) for c in counted])
         n_removed, n_spans, digests, shard_at, hot_at = [], [], [], 0, 0
         for a, b, x, known, shard, hot in settled:
@@ -374,9 +390,10 @@ def remove(n_buckets: int):
     return run
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` for each row."""
-    n_buckets = min(1 << 15, 2 * partitions(docs.sparkSession))
+def remove_repeats(docs: DataFrame, most: int = HOT, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` for each row.
+
+    ``most``: places of a core that one shard takes. The other two bound what a task holds."""
     digest = F.xxhash64(text_or_empty())
     rows = docs.select("doc_id", digest.alias("digest"), "text")
     keyed = rows.withColumn("key", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), "digest"))
@@ -386,11 +403,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     alive = F.broadcast(alive) if alive.count() <= BROADCAST_ROWS else alive
     texts = materialize(keyed.join(alive, "key", "left_semi").select("doc_id", "digest", "text"), "texts")
 
-    asked = texts.mapInArrow(ask_sections(n_buckets), ROWS_DDL)
+    n = buckets(texts, bucket_bytes)
+    asked = texts.mapInArrow(ask_sections(n, block_bytes), ROWS_DDL).repartition(n, "place")
     counted = asked.groupBy("place").applyInArrow(count_keys, BACK_DDL)
-    unclear = counted.groupBy("block").applyInArrow(ask_edges(n_buckets), ROWS_DDL)
+    unclear = counted.groupBy("block").applyInArrow(ask_edges(n, most), ROWS_DDL).repartition(n, "place")
     sorted_ = unclear.groupBy("place").applyInArrow(sort_shards, BACK_DDL)
-    done = sorted_.groupBy("block").applyInArrow(remove(n_buckets), "doc_id long, digest long, n_removed long, n_spans long, kept_sha256 string")
+    done = sorted_.groupBy("block").applyInArrow(remove(n, most), "doc_id long, digest long, n_removed long, n_spans long, kept_sha256 string")
     done = done.filter("n_removed > 0").dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("r_id"), F.col("digest").alias("r_digest"), "n_removed", "n_spans", "kept_sha256")
     text = text_or_empty()
     own = docs.select("doc_id", digest.alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("own"))

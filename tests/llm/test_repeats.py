@@ -31,9 +31,8 @@ def row(r):
     return (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
 
 
-@pytest.mark.parametrize("hot", [2000, 2])
-def test_passages_edges_and_repeats(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("hot,block,bucket", [(2000, 4 << 20, 8 << 20), (2, 4 << 20, 8 << 20), (2000, 3000, 700), (2, 3000, 700)])
+def test_passages_edges_and_repeats(spark, hot, block, bucket):
     rng = random.Random(3)
     text = lambda n: "".join(rng.choices("abcdé fgh\n", k=n))
     shared, other = text(900), text(1500)
@@ -43,7 +42,7 @@ def test_passages_edges_and_repeats(spark, monkeypatch, hot):
         texts.append(text(rng.randrange(0, 600)) + shared[s : s + rng.randrange(380, 600)] + text(rng.randrange(0, 600)) + (other[k : k + 700] if k % 3 == 0 else ""))
     texts += [texts[12], text(399), text(400)]
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, key string").repartition(3)
-    got = {r.doc_id: row(r) for r in repeats.remove_repeats(docs).collect()}
+    got = {r.doc_id: row(r) for r in repeats.remove_repeats(docs, hot, block, bucket).collect()}
     want = brute(texts)
     for i in range(len(texts)):
         assert got[i] == want[i], i
@@ -57,6 +56,15 @@ def test_repeated_rows_null_ids_and_empty(spark):
     assert repeats.remove_repeats(docs.limit(0)).collect() == []
 
 
+def test_texts_longer_than_a_chunk(spark):
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choices("abcdefgh \n", k=n))
+    passage = text(5000)
+    texts = [text(1 << 20) + passage + text(700_000) + passage[:450], text(300) + passage[100:900], text((1 << 20) - 200) + passage, "x" * 1_100_000]
+    got = {r.doc_id: row(r) for r in repeats.remove_repeats(spark.createDataFrame([(i, t, 1, "d") for i, t in enumerate(texts)], "doc_id long, text string, digest int, place string")).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
+
+
 def test_whole_table(spark, sf):
     t = pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
     want = dict(zip(t["doc_id"], brute(t["text"]), strict=True))
