@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from . import arrays, exchange
 from .bpe import numbers, pack, unpack
-from .common import batches_of, buckets, let_go, materialize, read
+from .common import batches_of, buckets, let_go, materialize, partitions, read
 
 ORDER, MU = 3, 50.0
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 6 << 20
@@ -90,19 +90,22 @@ class Block:
         self.ids = pa.array(np.frombuffer(ids, "<i8"), mask=~np.frombuffer(known, np.uint8).astype(bool))
         self.held = [held(i) for i in self.ids.to_pylist()]
         data = np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8)
-        hashes, checks, sizes = [], [], []
-        for _, _, some, own in arrays.chunks(data, at):
+        hashes, starts, ends, sizes = [], [], [], []
+        for a, _, some, own in arrays.chunks(data, at):
             h, first = arrays.word_hashes(some, own)
-            hashes.append(np.insert(h, first[1:], END))
+            s, e, _ = arrays.word_bounds(some, own)
+            for out, x, last in ((hashes, h, END), (starts, s + at[a], 0), (ends, e + at[a], 0)):
+                out.append(np.insert(x, first[1:], last))
             sizes.append(np.diff(first) + 1)
-            checks.append(self._checks(some, own, h))
         tokens = np.concatenate(hashes)
         self.first = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
         trains = np.repeat(~np.array(self.held, bool), np.diff(self.first))
         place = np.arange(len(tokens)) - np.repeat(self.first[:-1], np.diff(self.first))
         words, at_word, self.number = np.unique(tokens, return_index=True, return_inverse=True)
-        check = dict(kv for c in checks for kv in c.items())
-        self.check = np.array([check.get(h, 0) for h in words.tolist()], np.uint32)
+        raw = arrays.LOWER[data].tobytes()
+        bounds = (np.concatenate(x)[at_word].tolist() for x in (starts, ends))
+        self.check = np.fromiter((zlib.crc32(raw[s:e]) for s, e in zip(*bounds, strict=True)), np.uint32, len(words))  # a second hash of each word
+        del raw, hashes, starts, ends
         #: per length: hashes, training counts here, a place of each, and each place's n-gram (-1: none that long ends there)
         self.grams = [(words, np.bincount(self.number[trains], minlength=len(words)), at_word, self.number)]
         before = arrays.mix(tokens)
@@ -118,15 +121,6 @@ class Block:
             self.grams.append((h, np.bincount(back[trains[whole]], minlength=len(h)), whole[index], of))
         self.begins = place == 0
 
-    @staticmethod
-    def _checks(data: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> dict[int, int]:
-        """A second hash of each distinct word."""
-        low = arrays.LOWER[data]
-        starts, ends, _ = arrays.word_bounds(low, at)
-        own, index = np.unique(hashes, return_index=True)
-        raw = low.tobytes()
-        return {h: zlib.crc32(raw[s:e]) for h, s, e in zip(own.tolist(), starts[index].tolist(), ends[index].tolist(), strict=True)}
-
 
 def ask(n_buckets: int, order: int):
     """For mapInArrow on blocks: their distinct n-grams and training counts, by bucket."""
@@ -218,7 +212,7 @@ class Automaton:
             weight.append(np.log10(p[seen]))
             target.append(leads[seen])
         source, word, weight, target = (np.concatenate(x) for x in (source, word, weight, target))
-        by = np.lexsort((word, source))
+        by = np.argsort(source << 32 | word)
         self.begin = _array("i", np.searchsorted(source[by], np.arange(size + 1)))
         self.word, self.weight, self.next = _array("i", word[by]), _array("d", weight[by]), _array("i", target[by])
         self.fail, self.fail_weight = _array("i", np.concatenate(fail)), _array("d", np.concatenate(left))
@@ -300,7 +294,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BY
     let_go(spark)
     stats = back.filter("block is null").select("payload").mapInArrow(_stats, "words long, tokens long").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).collect()[0]
     run = traverse(order, stats.tokens or 0, stats.words or 0)
-    both = blocks.unionByName(back.filter("block is not null"))
+    both = blocks.unionByName(back.filter("block is not null")).repartition(max(partitions(spark), blocks.count()), "block")
     return both.groupBy("block").applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
