@@ -12,6 +12,7 @@ import gc
 import re
 import shutil
 import tempfile
+import time
 import uuid
 from contextlib import contextmanager
 from functools import lru_cache
@@ -62,8 +63,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def let_go(spark: SparkSession) -> None:
     """Has Spark delete the shuffle files of finished frames that nothing refers to any more, rather than whenever the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees in Python, the second frees in the JVM
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def buckets(docs: DataFrame, each: int, column: str = "text") -> int:

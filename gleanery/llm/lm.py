@@ -22,7 +22,9 @@ block; it then builds the part of the automaton that its own texts can reach. Ne
 the model nor the vocabulary is ever held whole anywhere. The number of buckets follows
 the table's bytes, so that a bucket has some BUCKET_BYTES of text to answer for.
 
-Words are told apart by 96 bits (two hashes), longer n-grams by 64. Defined results: a
+Words, on which the base score rests, are told apart by 96 bits (two hashes), longer
+n-grams by 56: of 10**11 distinct ones about one in a million shares its count with
+another, and each byte more would add a tenth of the input to what is sent. Defined results: a
 null text is empty and has the end token alone; a null ``doc_id`` counts as training;
 repeated rows each count and get the same score; an empty table gives no rows; other
 columns are not read. Blocks are written before they are used, so that a task repeated
@@ -50,6 +52,8 @@ ORDER, MU = 3, 50.0
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 6 << 20
 FOLDS, HELD_OUT = 7, 2
 END, START = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
+#: Of longer n-grams 56 bits are sent.
+GRAM_BITS = ~np.uint64(0xFF)
 OWN = -1
 ROWS = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("payload", pa.binary())])
 ROWS_DDL = "block string, bucket int, payload binary"
@@ -115,7 +119,7 @@ class Block:
                 context[place == 0] = arrays.mix(np.array([START]))[0]
             before = arrays.mix(context * np.uint64(3) + tokens)
             whole = np.flatnonzero(place >= k - 2)
-            h, index, back = np.unique(before[whole], return_index=True, return_inverse=True)
+            h, index, back = np.unique(before[whole] & GRAM_BITS, return_index=True, return_inverse=True)
             of = np.full(len(tokens), -1, np.int64)
             of[whole] = back
             self.grams.append((h, np.bincount(back[trains[whole]], minlength=len(h)), whole[index], of))
