@@ -6,7 +6,8 @@ buckets by hash, so that all blocks' copies of a word meet, the word is encoded
 and each block gets its ids back in the order it sent the words. Documents are then
 reassembled by position. A word that makes up a third of the corpus is one entry per
 block; a document, however long, is one row of packed positions. Decoding joins ids
-with the token-byte table, which is bounded by the vocabulary file.
+with the token-byte table, which is bounded by the vocabulary file. The number of
+buckets follows the table's bytes: a bucket has the words of some BUCKET_BYTES of text.
 
 Blocks are named by scan partition and number, so that a task repeated after a lost
 executor names them alike. Defined results: null counts as empty and
@@ -27,9 +28,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from . import arrays
-from .common import batch_bytes, partitions, read
+from .common import batch_bytes, buckets, read
 
-BLOCK_BYTES = 14 << 20
+BLOCK_BYTES, BUCKET_BYTES = 14 << 20, 12 << 20
 #: ``place`` is where a row goes first: a bucket, or for a block's own row (bucket -1) anywhere.
 ROWS = pa.schema([("place", pa.string()), ("block", pa.string()), ("bucket", pa.int32()), ("payload", pa.binary())])
 ROWS_DDL, BACK_DDL = "place string, block string, bucket int, payload binary", "block string, bucket int, payload binary"
@@ -66,7 +67,7 @@ class Places(dict):
         return n
 
 
-def cut(pattern: str, n_buckets: int):
+def cut(pattern: str, n_buckets: int, block_bytes: int):
     """For mapInArrow: each block of documents as one row of its own, and requests to buckets."""
     import regex
 
@@ -105,7 +106,7 @@ def cut(pattern: str, n_buckets: int):
             _, at = arrays.column_bytes(text)
             first = 0
             while first < len(text):
-                past = max(first + 1, int(np.searchsorted(at, at[first] + BLOCK_BYTES, "right")) - 1)
+                past = max(first + 1, int(np.searchsorted(at, at[first] + block_bytes, "right")) - 1)
                 yield block(f"{part}-{seq}", batch.column("doc_id").slice(first, past - first), text.slice(first, past - first).to_pylist())
                 first, seq = past, seq + 1
                 arrays.trim()
@@ -172,11 +173,13 @@ def reassemble(key, table):
     return pa.table({"doc_id": ids, "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists)))})
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id`` and ``ids`` (array of int) for each row, by the ranks in ``path``, each match of ``pattern`` on its own."""
-    batch_bytes(docs.sparkSession, BLOCK_BYTES)
-    n_buckets = partitions(docs.sparkSession)
-    rows = docs.select("doc_id", "text").mapInArrow(cut(pattern, n_buckets), ROWS_DDL)
+def encode(docs: DataFrame, path: str, pattern: str, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """``doc_id`` and ``ids`` (array of int) for each row, by the ranks in ``path``, each match of ``pattern`` on its own.
+
+    ``docs`` is read from a table: a repeated task must find the same rows to cut the same blocks."""
+    batch_bytes(docs.sparkSession, block_bytes)
+    n_buckets = buckets(docs, bucket_bytes)
+    rows = docs.select("doc_id", "text").mapInArrow(cut(pattern, n_buckets, block_bytes), ROWS_DDL).repartition(n_buckets, "place")
     back = rows.groupBy("place").applyInArrow(answer(path, pattern), BACK_DDL)
     return back.groupBy("block").applyInArrow(reassemble, "doc_id long, ids array<int>")
 

@@ -26,6 +26,14 @@ def test_ids_and_round_trip(spark):
     assert bpe.digests(docs.limit(0), PATH, P.PATTERN).collect() == []
 
 
+def test_many_blocks_and_buckets(spark):
+    rows = [(i, " ".join(f"w{(i * k) % 37} x{k % 11}" for k in range(i % 31))) for i in range(150)]
+    enc = bpe.encoder(PATH, P.PATTERN)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    got = bpe.encode(docs, PATH, P.PATTERN, block_bytes=400, bucket_bytes=150).collect()
+    assert {r.doc_id: r.ids for r in got} == {i: enc(t) for i, t in rows} and len(got) == len(rows)
+
+
 def test_whole_table(spark, sf):
     table = pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
     texts, enc = dict(zip(table["doc_id"], table["text"], strict=True)), bpe.encoder(PATH, P.PATTERN)
