@@ -108,18 +108,19 @@ def tiles(w: Column, h: Column, size: int = 512, stride: int = 256, least: int =
     return F.filter(F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: tile(x, y)))), lambda t: (t["w"] >= least) & (t["h"] >= least))
 
 
-def windows_at(w: Column, h: Column, scale: float, least: int = 32) -> Column:
-    """Array of struct(x, y, w, h): windows of a share of the image, half overlapping."""
+def windows_at(w: Column, h: Column, scale: float, least: int = 32, most: Column | None = None) -> Column:
+    """Array of struct(x, y, w, h): windows of a share of the image, half overlapping, row by row; the first ``most`` if given."""
     ww, hh = (w * scale).cast("int"), (h * scale).cast("int")
     sx, sy = F.greatest((ww / 2).cast("int"), F.lit(1)), F.greatest((hh / 2).cast("int"), F.lit(1))
-    xs = F.sequence(F.lit(0), F.greatest(w - ww, F.lit(0)).cast("int"), sx)
-    ys = F.sequence(F.lit(0), F.greatest(h - hh, F.lit(0)).cast("int"), sy)
+    nx = F.floor(F.greatest(w - ww, F.lit(0)) / sx).cast("int") + 1
+    ny = F.floor(F.greatest(h - hh, F.lit(0)) / sy).cast("int") + 1
+    n = nx * ny if most is None else F.least(nx * ny, most)
 
-    def window(x, y):
-        return F.struct(x.alias("x"), y.alias("y"), ww.alias("w"), hh.alias("h"))
+    def window(k):
+        return F.struct((k % nx * sx).alias("x"), (F.floor(k / nx).cast("int") * sy).alias("y"), ww.alias("w"), hh.alias("h"))
 
-    every = F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: window(x, y))))
-    return F.when((ww >= least) & (hh >= least), every).otherwise(F.array().cast("array<struct<x:int,y:int,w:int,h:int>>"))
+    every = F.transform(F.sequence(F.lit(0), n - 1), window)
+    return F.when((ww >= least) & (hh >= least) & (n > 0), every).otherwise(F.array().cast("array<struct<x:int,y:int,w:int,h:int>>"))
 
 
 def crop_pixels(x1, y1, x2, y2, width: Column, height: Column) -> tuple[Column, ...]:

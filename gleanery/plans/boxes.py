@@ -13,7 +13,6 @@ from .similarity import r
 BOXES = """b AS (SELECT p_partkey AS id, p_brand AS image, p_partkey % 97 AS x, p_partkey % 89 AS y, 10 + p_size AS w, 10 + p_size % 13 AS h, (p_partkey * 7919 % 1000) / 1000.0 AS score FROM part)"""
 IOU = """(greatest(least(a.x + a.w, c.x + c.w) - greatest(a.x, c.x), 0) * greatest(least(a.y + a.h, c.y + c.h) - greatest(a.y, c.y), 0))::DOUBLE"""
 IOU = f"({IOU} / (a.w * a.h + c.w * c.h - {IOU}))"
-CELL = 32
 
 
 def boxes(spark, sf_dir) -> DataFrame:
@@ -25,16 +24,25 @@ def boxes(spark, sf_dir) -> DataFrame:
 
 
 def overlaps(a: DataFrame, least: float) -> DataFrame:
-    """Pairs of one image's boxes with at least that overlap: joined by grid cells, each pair taken in one cell."""
-    def cells(start, size):
-        return F.sequence(F.floor(start / CELL), F.floor((start + size - 1) / CELL))
-
-    placed = a.withColumn("cx", F.explode(cells(F.col("x"), F.col("w")))).withColumn("cy", F.explode(cells(F.col("y"), F.col("h"))))
+    """Pairs of one image's boxes with at least that overlap (above 0): joined by grid cells, each pair taken in one cell.
+
+    A cell has twice the median sides of the boxes, so that most lie in few cells, and a crowded image is split by its cells.
+    The partitions are set, as pairs are many more than the boxes that adaptive planning counts."""
+    sides = a.agg(*[F.percentile_approx(c, 0.5).alias(c) for c in ("w", "h")]).collect()[0]
+    size = {"x": max(1, 2 * int(sides.w or 1)), "y": max(1, 2 * int(sides.h or 1))}
+    cells = lambda at, side: F.sequence(F.floor(F.col(at) / size[at]), F.floor((F.col(at) + F.col(side) - 1) / size[at]))
+    placed = a.withColumn("cx", F.explode(cells("x", "w"))).withColumn("cy", F.explode(cells("y", "h")))
+    n = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = placed.repartition(n, "image", "cx", "cy")
     b = placed.select(*[F.col(c).alias(f"{c}2") for c in ("id", "image", "x", "y", "w", "h", "cx", "cy")])
-    both = placed.join(b, (F.col("image") == F.col("image2")) & (F.col("cx") == F.col("cx2")) & (F.col("cy") == F.col("cy2")) & (F.col("id") < F.col("id2")))
-    one = (F.col("cx") == F.floor(F.greatest("x", "x2") / CELL)) & (F.col("cy") == F.floor(F.greatest("y", "y2") / CELL))
-    iou = geometry.iou_xywh(*[F.col(c) for c in ("x", "y", "w", "h", "x2", "y2", "w2", "h2")])
-    return both.filter(one).withColumn("iou", iou).filter(F.col("iou") >= least)
+    meet = lambda at, side: F.least(F.col(at) + F.col(side), F.col(f"{at}2") + F.col(f"{side}2")) - F.greatest(at, f"{at}2")
+    one = lambda at, cell: F.col(cell) == F.floor(F.greatest(at, f"{at}2") / size[at])
+    same = (F.col("image") == F.col("image2")) & (F.col("cx") == F.col("cx2")) & (F.col("cy") == F.col("cy2")) & (F.col("id") < F.col("id2"))
+    # in this order, as the cheap tests leave few pairs; only of boxes that do not meet may the union be 0
+    inter = meet("x", "w") * meet("y", "h")
+    iou = F.try_divide(inter.cast("double"), F.col("w") * F.col("h") + F.col("w2") * F.col("h2") - inter)
+    met = (meet("x", "w") > 0) & (meet("y", "h") > 0)
+    return left.join(b, same & met & (iou >= least) & one("x", "cx") & one("y", "cy")).withColumn("iou", iou)
 
 
 @query(f"WITH {BOXES} SELECT a.image, a.id, c.id AS other, round({IOU}, 6) AS iou FROM b a JOIN b c ON a.image = c.image AND a.id < c.id AND {IOU} >= 0.3")
@@ -97,11 +105,11 @@ SCALES = (0.1, 0.2, 0.3, 0.5, 0.7, 1.0)
 def roi_sliding_windows(spark, sf_dir):
     """Windows of six sizes and the whole image, largest first, as many as the image's size allows."""
     w, h = F.col("w"), F.col("h")
-    whole = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), w.alias("w"), h.alias("h"), F.lit(1).alias("whole")))
-    each = [F.transform(geometry.windows_at(w, h, s), lambda t: F.struct(t["x"].alias("x"), t["y"].alias("y"), t["w"].alias("w"), t["h"].alias("h"), F.lit(0).alias("whole"))) for s in SCALES]
-    key = lambda t: F.struct((-t["w"] * t["h"]).alias("a"), t["y"].alias("b"), t["x"].alias("c"), t["whole"].alias("d"), t.alias("t"))
-    sorted_ = F.transform(F.array_sort(F.transform(F.concat(*each, whole), key)), lambda t: t["t"])
     most = F.greatest(F.lit(10), F.least(F.lit(100), F.floor(w * h / 50000))).cast("int")
+    whole = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), w.alias("w"), h.alias("h")))
+    # from the largest share to the smallest, so nothing is sorted; the whole image comes after the window that equals it
+    first, *rest = [geometry.windows_at(w, h, s, most=most) for s in sorted(SCALES, reverse=True)]
+    sorted_ = F.concat(first, whole, *rest)
     out = sizes(spark, sf_dir).select("image", F.posexplode(F.slice(sorted_, F.lit(1), most)).alias("n", "t"))
     return out.select("image", (F.col("n") + 1).cast("long").alias("n"), "t.x", "t.y", "t.w", "t.h")
 
