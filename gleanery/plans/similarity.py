@@ -19,7 +19,6 @@ pairs AS (SELECT q.vec_id AS query_id, q.label AS query_label, e.vec_id AS id, e
           FROM unit q JOIN unit e ON true WHERE {which})
 """
 EVERY_20TH = "q.vec_id % 20 = 0"
-FIRST = "q.vec_id = (SELECT min(vec_id) FROM embeddings)"
 RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM pairs)"
 
 
@@ -31,10 +30,6 @@ def every_20th(v: DataFrame) -> DataFrame:
     return v.filter("id % 20 = 0")
 
 
-def first(v: DataFrame) -> DataFrame:
-    return v.orderBy("id").limit(1)
-
-
 def labelled(found: DataFrame, v: DataFrame) -> DataFrame:
     return found.join(v.select("id", "label"), "id")
 
@@ -50,13 +45,13 @@ def knn_topk(spark, sf_dir):
 
 
 @query(
-    f"""WITH {UNIT.format(which=FIRST)}, best AS (SELECT label, id, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS n FROM pairs WHERE score >= {THRESHOLD})
-    SELECT label, id, round(score, 6) AS score FROM best WHERE n = 1"""
+    f"""WITH {UNIT.format(which=EVERY_20TH)}, best AS (SELECT query_id, label, id, score, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) AS n FROM pairs WHERE score >= {THRESHOLD})
+    SELECT query_id, label, id, round(score, 6) AS score FROM best WHERE n = 1"""
 )
 def knn_threshold_person(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    found = labelled(knn.search(v, first(v), least=THRESHOLD), v)
-    return knn.best_per_group(found, "label").select("label", "id", r("score").alias("score"))
+    found = labelled(knn.search(v, every_20th(v), least=THRESHOLD), v)
+    return knn.best_per_group(found, "label").select("query_id", "label", "id", r("score").alias("score"))
 
 
 @query(

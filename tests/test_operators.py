@@ -194,3 +194,13 @@ def test_windowed_stream_counts(spark, sf, tmp_path):
     q = queue.windowed(stream, "ts", "event_type").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("w").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_lsh_recall_against_brute_force(spark, sf):
+    """Neighbours within the query's distance: at least nine of ten are found."""
+    from gleanery.plans import catalogue, similarity
+
+    v = {r.id: r.vector for r in similarity.vectors(spark, sf).collect()}
+    want = {(q, i) for q in v if q % 20 == 0 for i in v if sum((a - b) ** 2 for a, b in zip(v[q], v[i], strict=True)) ** 0.5 < 1.2}
+    got = {(r.query_id, r.id) for r in catalogue.QUERIES["lsh_ann"](spark, sf).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
