@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import vector
-from .operators import clustering, evaluation, knn, ranking, suppression
+from .operators import clustering, evaluation, fine, knn, ranking, suppression
 from .sources import catalog, vectors
 from .streaming import queue
 
@@ -15,7 +15,7 @@ TABLES = {
     "tasks": "id long, image_id long, task_type string, status string, retry_count int",
     "faces": "id long, image_id long, person_id long, vector array<float>, quality double, storage_status string",
     "objects": "id long, image_id long, class_name string, confidence float, vector array<float>",
-    "patches": "id long, image_id long, patch_index int, vector array<float>",
+    "patches": "id long, image_id long, patch_index int, num_keypoints int, x float, y float, w float, h float, vector array<float>",
 }
 
 
@@ -73,16 +73,38 @@ class Engine:
         best = knn.best_per_group(found.join(faces.select("id", "image_id"), "id"), "image_id")
         return best.join(self.table("images").select(F.col("id").alias("image_id"), "path"), "image_id").orderBy("query_id", F.desc("score"), "image_id")
 
+    def search_person_image(self, faces: DataFrame, threshold: float = 0.5) -> DataFrame:
+        """From the faces found in query images (columns as ``fine.query_face`` has them, ``image`` and ``vector``): by the largest that passes the gates."""
+        return self.search_person(fine.query_face(faces, "image").select(F.col("image").alias("id"), "vector"), threshold)
+
     def search_objects(self, query: DataFrame, k: int = 20) -> DataFrame:
         """Coarse stage: the best images by their best object, over-fetched threefold."""
         objects = self.table("objects")
         found = knn.search(objects, query, k=3 * 2 * k).join(objects.select("id", "image_id"), "id")
         return ranking.coarse_objects(found, "image_id", 2 * k)
 
+    def rank_objects(self, coarse: DataFrame, matched: DataFrame, k: int = 20, least: float = 0.5) -> DataFrame:
+        """Fine stage: ``coarse`` as ``search_objects`` gives it, with ``overlap`` of the query's box and the object's; ``matched`` as for ``fine.objects``.
+
+        Images without a row are left out."""
+        images = self.table("images").select(F.col("id").alias("image_id"), "path")
+        return fine.objects(coarse.join(images, "image_id"), matched, k, least=least)
+
     def search_patches(self, query: DataFrame, k: int = 50) -> DataFrame:
-        patches = self.table("patches")
-        found = knn.search(patches, query, k=k).join(patches.select("id", "image_id"), "id")
-        return ranking.coarse_patches(found, "image_id").orderBy(F.desc("votes"), "image_id").limit(k)
+        """Coarse stage, by the 50 richest patches of each ``query_image``; ``query`` has the columns of ``patches`` besides."""
+        patches, rich = self.table("patches"), fine.richest(query, "query_image")
+        found = knn.search(patches, rich, k=k).join(patches.select("id", "image_id"), "id").join(rich.select(F.col("id").alias("query_id"), "query_image"), "query_id")
+        votes = ranking.coarse_patches(found, "image_id", "query_image")
+        return ranking.first_per_key(votes, "query_image", F.desc("votes"), "image_id", most=k)
+
+    def patch_pairs(self, query: DataFrame, coarse: DataFrame) -> DataFrame:
+        """What a matcher is to compare: patches of the query and of the coarse stage's images that lie alike."""
+        return fine.patch_pairs(query, coarse, self.table("patches"))
+
+    def rank_patches(self, pairs: DataFrame, matched: DataFrame, query: DataFrame, k: int = 20) -> DataFrame:
+        """Fine stage: ``matched`` as for ``fine.patches``. Images without a row have an empty path."""
+        images = self.table("images").select(F.col("id").alias("image_id"), "path")
+        return fine.patches(pairs, matched, query, k).join(images, "image_id", "left").fillna("", ["path"])
 
     def search_category(self, examples: DataFrame, threshold: float = 0.7, k: int = 50) -> DataFrame:
         """By the prototype of some examples (``id``, ``vector``); NULL classes are named unknown."""
@@ -91,8 +113,11 @@ class Engine:
         found = knn.search(objects, p, k=k, least=threshold)
         return found.join(objects.select("id", "image_id", F.coalesce("class_name", F.lit("unknown")).alias("class_name")), "id").drop("query_id").orderBy("rank")
 
-    def assign_people(self, group: str = "library", threshold: float = 0.65) -> DataFrame:
+    def assign_people(self, group: str = "library", threshold: float = 0.65, most: int = 200_000) -> DataFrame:
+        """Faces one after the other, in one task, as each is compared with those before; a library of more than ``most`` faces is refused."""
         faces = self.table("faces").filter("vector is not null").withColumn(group, F.lit(0))
+        if faces.limit(most + 1).count() > most:
+            raise ValueError(f"more than {most} faces: assign them by album with clustering.online, or to known persons with knn.search and clustering.vote")
         return clustering.online(faces, group, threshold)
 
     def suppress(self, boxes: DataFrame, iou: float = 0.4) -> DataFrame:

@@ -9,14 +9,17 @@ from ..functions import vector
 from . import knn
 
 
+def _check(centroids: DataFrame) -> None:
+    n, dim = centroids.agg(F.count("*"), F.max(F.size("centroid"))).first()
+    if n * (dim or 0) > knn.QUERY_FLOATS:
+        raise ValueError(f"{n} centroids of {dim} values are too many to send to every task")
+
+
 def assign(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     """``id``, ``k``, ``distance`` (squared) of the nearest centroid, ties by the smaller ``k``.
 
     ``centroids`` (``k``, ``centroid``) is a trained table of K rows; its size is checked before it is sent to every task."""
-    n = centroids.count()
-    dim = centroids.select(F.max(F.size("centroid"))).first()[0] or 0
-    if n * dim > knn.QUERY_FLOATS:
-        raise ValueError(f"{n} centroids of {dim} values are too many to send to every task")
+    _check(centroids)
     table = F.broadcast(centroids.groupBy().agg(F.array_sort(F.collect_list(F.struct("k", "centroid"))).alias("table")))
     near = F.transform("table", lambda c: F.struct(vector.squared_distance(F.col("vector"), c["centroid"]).alias("distance"), c["k"].alias("k")))
     return vectors.join(table).select(*vectors.columns, F.array_min(near).alias("near")).select(*vectors.columns, "near.k", "near.distance")
@@ -24,6 +27,7 @@ def assign(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
 
 def residuals(assigned: DataFrame, centroids: DataFrame, key: str) -> DataFrame:
     """``key``, ``k``, ``dim``, ``residual``: sums of what vectors differ from their centroid, not yet scaled."""
+    _check(centroids)
     joined = assigned.join(F.broadcast(centroids), "k")
     each = joined.select(key, "k", F.posexplode(F.zip_with(vector.doubles(F.col("vector")), vector.doubles(F.col("centroid")), lambda x, c: x - c)).alias("dim", "x"))
     return each.groupBy(key, "k", "dim").agg(F.sum("x").alias("residual"))

@@ -8,16 +8,17 @@ from pyspark.sql.window import Window
 
 
 def coarse_objects(found: DataFrame, image: str, k: int) -> DataFrame:
-    """From the 3k best objects: each image's best positive score, the best k images (ties by image)."""
-    best = found.filter((F.col("rank") <= 3 * k) & (F.col("score") > 0)).groupBy("query_id", image).agg(F.max("score").alias("score"))
+    """From the 3k best objects: each image's best positive score and that object's ``id``, the best k images (ties by image)."""
+    first = F.max_by("id", F.struct("score", -F.col("id"))).alias("id")
+    best = found.filter((F.col("rank") <= 3 * k) & (F.col("score") > 0)).groupBy("query_id", image).agg(F.max("score").alias("score"), first)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), image)
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def coarse_patches(found: DataFrame, image: str) -> DataFrame:
-    """Per image, over query patches: the sum and number of each patch's best score, not below 0."""
-    best = found.groupBy("query_id", image).agg(F.max(F.greatest("score", F.lit(0.0))).alias("best"))
-    return best.groupBy(image).agg(F.sum("best").alias("votes"), F.count("*").alias("n_patches"))
+def coarse_patches(found: DataFrame, image: str, *query: str) -> DataFrame:
+    """Per image (and ``query``, where several are asked at once), over query patches: the sum and number of each patch's best score, not below 0."""
+    best = found.groupBy(*query, "query_id", image).agg(F.max(F.greatest("score", F.lit(0.0))).alias("best"))
+    return best.groupBy(*query, image).agg(F.sum("best").alias("votes"), F.count("*").alias("n_patches"))
 
 
 def fusion(embedding: Column, inlier_ratio: Column, overlap: Column) -> Column:
@@ -29,10 +30,10 @@ def _multipliers(color: Column, overlap: Column, matched: Column) -> Column:
     return each(color) * each(overlap)
 
 
-def object_confidence(inliers: Column, matches: Column, matched: Column, color: Column, overlap: Column) -> Column:
-    """For queries of one or two patches; ``color`` and ``overlap`` are sums over matched query patches."""
+def object_confidence(inliers: Column, matches: Column, matched: Column, color: Column, overlap: Column, patches: Column | int = 1) -> Column:
+    """For queries of one or two patches, ``patches`` in all; ``color`` and ``overlap`` are sums over matched query patches."""
     ratio = F.coalesce(F.try_divide(inliers.cast("double"), matches), F.lit(0.0))
-    return ratio * F.sqrt(inliers.cast("double")) * (1 + 0.5 * matched) * _multipliers(color, overlap, matched)
+    return ratio * F.sqrt(inliers.cast("double")) * (1 + 0.5 * matched / patches) * _multipliers(color, overlap, matched)
 
 
 def scene_confidence(inliers: Column, matches: Column, matched: Column, centres: Column, variance: Column, color: Column, overlap: Column) -> Column:
@@ -48,6 +49,6 @@ def best_candidate(df: DataFrame, query: str, image: str, candidate: str, score:
     return df.filter(F.col(score) > 0).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def first_per_key(df: DataFrame, key: str, *order: Column) -> DataFrame:
+def first_per_key(df: DataFrame, key: str, *order: Column | str, most: int = 1) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")

@@ -198,14 +198,14 @@ def _matches(spark, sf_dir) -> DataFrame:
 
 
 @query(
-    f"""WITH {MATCHES} SELECT image, inliers, matched, round(ratio * sqrt(inliers) * (1 + 0.5 * matched) * mult, 4) AS object_mode,
+    f"""WITH {MATCHES} SELECT image, inliers, matched, round(ratio * sqrt(inliers) * (1 + 0.5 * matched / 50) * mult, 4) AS object_mode,
     round(inliers * ratio * CASE WHEN matched >= 3 THEN greatest(1 - variance, 0.3) ELSE 1 END * greatest(ln(1 + matched), 1) * mult, 4) AS scene_mode FROM mul"""
 )
 def patch_confidence_modes(spark, sf_dir):
     m = _matches(spark, sf_dir)
     c = F.col
     return m.select(
-        "image", "inliers", "matched", r(ranking.object_confidence(c("inliers"), c("matches"), c("matched"), c("color"), c("overlap")), 4).alias("object_mode"),
+        "image", "inliers", "matched", r(ranking.object_confidence(c("inliers"), c("matches"), c("matched"), c("color"), c("overlap"), 50), 4).alias("object_mode"),
         r(ranking.scene_confidence(c("inliers"), c("matches"), c("matched"), c("matched"), c("variance"), c("color"), c("overlap")), 4).alias("scene_mode"),
     )
 

@@ -176,18 +176,22 @@ def descriptor_mean_std(spark, sf_dir):
 
 
 @query(
-    """WITH u AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label < 2),
-    s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS score FROM u a JOIN u b ON a.label = 0 AND b.label = 1),
-    t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS x, row_number() OVER (PARTITION BY b ORDER BY score DESC, a) AS y FROM s)
-    SELECT a, b, round(score, 6) AS score FROM t WHERE x = 1 AND y = 1 AND score >= 0.1"""
+    """WITH u AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    s AS (SELECT a.label AS image, b.label AS other, a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS score FROM u a JOIN u b ON a.label % 20 = 0 AND b.label <> a.label),
+    t AS (SELECT *, row_number() OVER (PARTITION BY a, other ORDER BY score DESC, b) AS x, row_number() OVER (PARTITION BY b, image ORDER BY score DESC, a) AS y FROM s)
+    SELECT image, other, a, b, round(score, 6) AS score FROM t WHERE x = 1 AND y = 1 AND score >= 0.1"""
 )
 def mutual_nn_match(spark, sf_dir):
-    """Two images' descriptors: pairs that are each other's nearest."""
+    """Descriptors of each image whose number is divisible by 20 against those of every other image: pairs that are each other's nearest, image by image."""
     v = vectors(spark, sf_dir)
-    x, y = v.filter("label = 0"), v.filter("label = 1")
-    forth, back = knn.search(y, x, k=1), knn.search(x, y, k=1)
-    both = forth.select(F.col("query_id").alias("a"), F.col("id").alias("b"), "score").join(back.select(F.col("id").alias("a"), F.col("query_id").alias("b")), ["a", "b"])
-    return both.filter("score >= 0.1").select("a", "b", r("score").alias("score"))
+    queries = v.filter("label % 20 = 0")
+    # a pair under the least similarity is no result, nor does it displace one, so only those that reach it are compared
+    found = labelled(knn.search(v, queries, least=0.1), v).withColumnRenamed("label", "other")
+    found = found.join(queries.select(F.col("id").alias("query_id"), F.col("label").alias("image")), "query_id").filter("image <> other")
+    best = lambda of: F.max_by(of, F.struct("score", -F.col(of)))
+    forth = found.groupBy("image", "other", F.col("query_id").alias("a")).agg(best("id").alias("b"), F.max("score").alias("score"))
+    back = found.groupBy("image", "other", F.col("id").alias("b")).agg(best("query_id").alias("a"))
+    return forth.join(back, ["image", "other", "a", "b"]).select("image", "other", "a", "b", r("score").alias("score"))
 
 
 RUN = f"""{UNIT.format(which="q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id")}, {RANKED},
