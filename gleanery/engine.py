@@ -25,27 +25,43 @@ class Engine:
     def __init__(self, spark: SparkSession, warehouse: str):
         self.spark, self.warehouse = spark, warehouse
 
+    def _path(self, name: str):
+        """A path below the warehouse and its file system, as the cluster sees them."""
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{self.warehouse}/{name}")
+        return path, path.getFileSystem(sc._jsc.hadoopConfiguration())
+
     def table(self, name: str) -> DataFrame:
+        self._settle(name)
         return vectors.read_or_empty(self.spark, f"{self.warehouse}/{name}", TABLES[name])
 
+    def _settle(self, name: str) -> None:
+        """Ends a ``replace`` that was cut off after the new table was whole and the old one gone."""
+        (live, fs), (new, _), (whole, _) = (self._path(n) for n in (name, f".{name}", f".{name}/_SUCCESS"))
+        if not fs.exists(live) and fs.exists(whole):
+            fs.rename(new, live)
+
     def append(self, name: str, rows: DataFrame) -> None:
         rows.select(*[c.split()[0] for c in TABLES[name].split(", ")]).write.mode("append").parquet(f"{self.warehouse}/{name}")
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        """Written beside the old table first, as ``rows`` may read it."""
-        tmp = f"{self.warehouse}/.{name}"
-        rows.write.mode("overwrite").parquet(tmp)
-        self.spark.read.schema(rows.schema).parquet(tmp).write.mode("overwrite").parquet(f"{self.warehouse}/{name}")
+        """Written beside the old table, which may be what ``rows`` reads, and renamed once it is whole."""
+        rows.write.mode("overwrite").parquet(f"{self.warehouse}/.{name}")
+        live, fs = self._path(name)
+        fs.delete(live, True)
+        self._settle(name)
 
     def clear(self) -> None:
         for name, schema in TABLES.items():
             self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.warehouse}/{name}")
 
     def scan(self, path: str) -> DataFrame:
-        """Scans a folder into the catalog and queues what is pending; gives the files with their state."""
-        files = catalog.scan_folder(self.spark, path)
+        """Scans a folder into the catalog and queues what is pending; gives the files with their state.
+
+        The state is written once: files are not hashed again for each use, and the catalog it was found by is replaced below."""
         images = self.table("images")
-        found = catalog.classify(files, images)
+        catalog.classify(catalog.scan_folder(self.spark, path), images).write.mode("overwrite").parquet(f"{self.warehouse}/.found")
+        found = self.spark.read.parquet(f"{self.warehouse}/.found")
         core = ("id", "path", "hash", "size", "modified_time", "scan_status")
         merged = catalog.merge_scan(images.select(*core), found).join(images.select("id", "thumbnail_path", "thumbnail_status"), "id", "left")
         self.replace("images", merged.select(*core, "thumbnail_path", F.coalesce("thumbnail_status", F.lit("pending")).alias("thumbnail_status")))

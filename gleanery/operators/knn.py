@@ -4,7 +4,8 @@ The vectors are scanned once, wherever they are; the queries travel to them. A s
 queries of a checked size is sent to every task and multiplied with whole Arrow
 batches; each batch gives its best k rows per query, so that what is shuffled does not
 grow with the vectors' number of columns, and the best k are ranked per query. A larger
-set is dealt into blocks that are joined with the vectors' partitions one after the other.
+set never comes to the driver: blocks of queries meet blocks of vectors, each one matrix
+product, and Spark keeps a task's best k per query before it shuffles.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from pyspark.sql.window import Window
 
 #: Queries sent to every task at once: at most this many floats (32 MB as doubles).
 QUERY_FLOATS = 4_000_000
+#: Of a larger set, floats of a block of queries and of a block of vectors (2 MB each as doubles).
+PACKED_FLOATS = 250_000
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
@@ -53,18 +56,37 @@ def _search(ids: np.ndarray, queries: np.ndarray, k: int | None, least: float |
     return run
 
 
-def _blocks(queries: DataFrame):
-    """Query ids and vectors, in blocks of a bounded size, read one after the other."""
-    ids, rows, floats = [], [], 0
-    for r in queries.select("id", "vector").filter("vector is not null").toLocalIterator(prefetchPartitions=True):
-        ids.append(r.id)
-        rows.append(r.vector)
-        floats += len(r.vector)
-        if floats >= QUERY_FLOATS:
-            yield np.array(ids, np.int64), np.array(rows, np.float64)
-            ids, rows, floats = [], [], 0
-    if ids:
-        yield np.array(ids, np.int64), np.array(rows, np.float64)
+def _packed(floats: int):
+    """For mapInArrow: some vectors a row, as their ids and one matrix, of about ``floats`` values."""
+
+    def run(batches):
+        for b in batches:
+            n = len(b.column("vector")[0]) if b.num_rows else 1
+            step = max(1, floats // max(n, 1))
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
+                ids = part.column("id").to_numpy().astype("<i8").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([ids]), pa.array([_matrix(part.column("vector")).astype("<f8").tobytes()])], ["ids", "matrix"])
+
+    return run
+
+
+def _search_packed(k: int | None, least: float | None):
+    """For mapInArrow: rows of some vectors beside some queries."""
+
+    def unpack(ids, matrix):
+        n = np.frombuffer(ids.as_py(), "<i8")
+        return n, np.frombuffer(matrix.as_py(), "<f8").reshape(len(n), -1)
+
+    def run(batches):
+        for b in batches:
+            for row in range(b.num_rows):
+                own, m = unpack(b.column("ids")[row], b.column("matrix")[row])
+                ids, queries = unpack(b.column("query_ids")[row], b.column("query_matrix")[row])
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.reshape(-1)))
+                yield from _search(ids, queries, k, least)([pa.RecordBatch.from_arrays([pa.array(own), vectors], ["id", "vector"])])
+
+    return run
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int | None = None, least: float | None = None) -> DataFrame:
@@ -72,14 +94,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int | None = None, least:
 
     Both frames have ``id`` (long) and ``vector`` (array of float, one length for all). With ``k``
     the best k per query, with ``least`` those of at least that similarity. A query's own row counts."""
-    spark, schema = vectors.sparkSession, "query_id long, id long, score double"
-    own = vectors.select(F.col("id").cast("long").alias("id"), "vector").filter("vector is not null")
-    found = None
-    for ids, matrix in _blocks(queries.withColumn("id", F.col("id").cast("long"))):
-        part = own.mapInArrow(_search(ids, matrix, k, least), schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
+    schema = "query_id long, id long, score double"
+    own, asked = (df.select(F.col("id").cast("long").alias("id"), "vector").filter("vector is not null") for df in (vectors, queries))
+    n, dim = asked.agg(F.count("*"), F.max(F.size("vector"))).first()
+    floats = n * (dim or 0)
+    if floats <= QUERY_FLOATS:
+        table = asked.toArrow()
+        ids = table.column("id").to_numpy().astype(np.int64)
+        found = own.mapInArrow(_search(ids, _matrix(table.column("vector").combine_chunks()), k, least), schema) if n else vectors.sparkSession.createDataFrame([], schema)
+    else:
+        blocks = asked.mapInArrow(_packed(PACKED_FLOATS), "ids binary, matrix binary").toDF("query_ids", "query_matrix")
+        blocks = blocks.repartition(1 + floats // (64 * PACKED_FLOATS))
+        found = own.mapInArrow(_packed(PACKED_FLOATS), "ids binary, matrix binary").crossJoin(blocks).mapInArrow(_search_packed(k, least), schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(w))
     return ranked.filter(F.col("rank") <= k) if k is not None else ranked

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import image
+from ..operators import pairs
 from .registry import query, table
 from .similarity import r
 
@@ -70,12 +71,11 @@ def rgb_hist(spark, sf_dir):
     SELECT a.image, b.image AS other, round(sum(least(a.share, b.share)), 6) AS shared FROM h a JOIN h b ON a.channel = b.channel AND a.bin = b.bin AND a.image < b.image GROUP BY ALL"""
 )
 def hist_intersection(spark, sf_dir):
-    """Dense histograms of 96 bins, one row an image, compared as arrays."""
+    """Dense histograms of 96 bins, one row an image, compared as arrays, for a choice of images whose number is checked."""
     dense = F.transform(F.sequence(F.lit(0), F.lit(95)), lambda k: F.coalesce(F.try_element_at(F.col("h"), k), F.lit(0.0)))
     h = _rgb_hist(spark, sf_dir).groupBy("image").agg(F.map_from_entries(F.collect_list(F.struct((F.col("channel") * 32 + F.col("bin")).alias("k"), "share"))).alias("h"))
-    h = h.select("image", dense.alias("h"))
-    other = h.select(F.col("image").alias("other"), F.col("h").alias("h2"))
-    return h.join(other, F.col("image") < F.col("other")).select("image", "other", r(image.intersection(F.col("h"), F.col("h2"))).alias("shared"))
+    both = pairs.of_chosen(h.select("image", dense.alias("h")), "image")
+    return both.select("image", F.col("image2").alias("other"), r(image.intersection(F.col("h"), F.col("h2"))).alias("shared"))
 
 
 @query(f"WITH {PIXELS} SELECT image, round(avg({SATURATION}), 6) AS saturation, avg((r > g AND r > 95 AND abs(r - g) < 50 AND abs(g - b) < 50 AND {HUE} > 0 AND {HUE} < 50 AND coalesce({SATURATION}, 0) > 0.1)::INT)::DECIMAL(18, 6)::DOUBLE AS skin FROM p GROUP BY image")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vector
-from ..operators import clustering, descriptors, evaluation, knn, ranking
+from ..operators import clustering, descriptors, evaluation, knn, pairs, ranking
 from .registry import query, table
 
 #: Similarities of the test vectors are low; every threshold is a parameter.
@@ -105,10 +105,10 @@ def prototype_search(spark, sf_dir):
     SELECT a.label AS a, b.label AS b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM f a JOIN f b ON a.label < b.label"""
 )
 def pair_similarity_matrix(spark, sf_dir):
-    """The first face of each image against each other image's: one row per image, so the pairs are few."""
+    """The first face of each image against each other image's, for a choice of images whose number is checked."""
     f = vectors(spark, sf_dir).groupBy("label").agg(F.min_by("vector", "id").alias("v"))
-    a, b = f.select(F.col("label").alias("a"), F.col("v").alias("x")), f.select(F.col("label").alias("b"), F.col("v").alias("y"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", r(vector.cosine(F.col("x"), F.col("y"))).alias("similarity"))
+    both = pairs.of_chosen(f, "label")
+    return both.select(F.col("label").alias("a"), F.col("label2").alias("b"), r(vector.cosine(F.col("v"), F.col("v2"))).alias("similarity"))
 
 
 @query(

@@ -78,3 +78,43 @@ def test_engine_runs_the_fine_stages(spark, tmp_path):
     assert [(r.query_id, r.path, r.id) for r in e.search_person_image(faces, 0.9).collect()] == [(3, "p7", 2)]
     with pytest.raises(ValueError):
         e.assign_people(most=1)
+
+
+def test_replaced_tables_survive_a_cut(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "warehouse"))
+    one = spark.createDataFrame([(1, 1, "image", "pending", 0)], e.table("tasks").schema)
+    e.append("tasks", one)
+    e.replace("tasks", e.table("tasks").withColumn("status", F.lit("failed")))  # reads what it replaces
+    assert [r.status for r in e.table("tasks").collect()] == ["failed"]
+    one.write.parquet(str(tmp_path / "warehouse" / ".tasks"))  # whole, but the old table is still there
+    assert [r.status for r in e.table("tasks").collect()] == ["failed"]
+    (tmp_path / "warehouse" / "tasks").rename(tmp_path / "gone")
+    assert [r.status for r in e.table("tasks").collect()] == ["pending"]
+    folder = tmp_path / "photos"
+    folder.mkdir()
+    (folder / "a.jpg").write_bytes(b"one")
+    e.scan(str(folder))
+    (folder / "b.jpg").write_bytes(b"two")
+    assert sorted(r.state for r in e.scan(str(folder)).collect()) == ["new", "unchanged"] and e.table("images").count() == 2
+
+
+def test_pairs_of_chosen_rows(spark):
+    from gleanery.operators import pairs
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id long, name string")
+    assert sorted((r.id, r.id2, r.name, r.name2) for r in pairs.of_chosen(rows, "id").collect()) == [(1, 2, "a", "b"), (1, 3, "a", None), (2, 3, "b", None)]
+    assert pairs.of_chosen(rows.limit(0), "id").count() == 0
+    with pytest.raises(ValueError):
+        pairs.of_chosen(rows, "id", 2)
+
+
+def test_blocks_of_queries_give_what_one_block_gives(spark, sf, monkeypatch):
+    from gleanery.operators import knn
+    from gleanery.plans.similarity import vectors
+
+    v = vectors(spark, sf)
+    rows = lambda **by: sorted((r.query_id, r["rank"], r.id, round(r.score, 9)) for r in knn.search(v, v.filter("id % 5 = 0"), **by).collect())
+    want = rows(k=3), rows(least=0.3)
+    monkeypatch.setattr(knn, "QUERY_FLOATS", 0)
+    monkeypatch.setattr(knn, "PACKED_FLOATS", 1000)
+    assert (rows(k=3), rows(least=0.3)) == want
