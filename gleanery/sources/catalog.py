@@ -30,27 +30,34 @@ def classify(files: DataFrame, images: DataFrame) -> DataFrame:
 
 def merge_scan(images: DataFrame, classified: DataFrame) -> DataFrame:
     """The catalog after a scan: changed rows take the file's values and become pending, new paths are added."""
-    changed = classified.filter("state = 'changed'").select("path", *[F.col(c).alias(f"n_{c}") for c in ("hash", "size", "modified_time")])
+    changed = classified.filter("state = 'changed'").select("path", *[F.col(c).alias(f"n_{c}") for c in ("hash", "size", "modified_time")], F.lit(True).alias("is_changed"))
     updated = images.join(changed, "path", "left").select(
         "id",
         "path",
         *[F.coalesce(f"n_{c}", c).alias(c) for c in ("hash", "size", "modified_time")],
-        F.when(F.col("n_hash").isNotNull(), "pending").otherwise(F.col("scan_status")).alias("scan_status"),
+        F.when(F.col("is_changed"), "pending").otherwise(F.col("scan_status")).alias("scan_status"),
     )
     added = classified.filter("state in ('new', 'duplicate')").dropDuplicates(["path"]).join(images.select("path"), "path", "left_anti")
     return updated.unionByName(with_ids(added.select("path", "hash", "size", "modified_time", F.lit("pending").alias("scan_status")), images, "path"))
 
 
 def with_ids(rows: DataFrame, table: DataFrame, order: str) -> DataFrame:
-    """``id`` after the table's largest, in the order of ``order``: a rank by range partitions, without one task for all rows."""
+    """``id`` after the table's largest, in the order of ``order`` (null first): a rank by ranges, without one task for all rows.
+
+    The ranges' bounds are drawn once and are constants of the plan, as the rows are counted in one run and numbered in
+    another: which physical partition holds a row may differ between the two (its columns and adaptive planning decide)."""
+    spark = rows.sparkSession
     last = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")).first()["last"]
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    sizes = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # one number a partition
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    drawn = sorted(r[0] for r in rows.select(order).filter(F.col(order).isNotNull()).orderBy(F.xxhash64(order)).limit(20 * n).collect())
+    bounds = sorted({drawn[i * len(drawn) // n] for i in range(1, n)}) if drawn else []
+    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(order))) if bounds else F.lit(0)
+    ranged = rows.withColumn("_part", part)
+    sizes = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # one number a range
     before, starts = last, []
     for p in sorted(sizes):
         starts.append((p, before))
         before += sizes[p]
-    spark = rows.sparkSession
     starts = F.broadcast(spark.createDataFrame(starts, "_part int, _start long"))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(order))
     return ranged.withColumn("_own", own).join(starts, "_part").select((F.col("_start") + F.col("_own")).cast("long").alias("id"), *rows.columns)

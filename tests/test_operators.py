@@ -174,6 +174,29 @@ def test_changed_file_is_updated_and_queued(spark):
     assert merged["p"].hash == "h2" and merged["p"].scan_status == "pending" and merged["q"].id == 2
 
 
+def test_changed_file_without_hash_is_queued(spark):
+    images = spark.createDataFrame([(1, "p", "h1", 5, 10, "completed")], "id long, path string, hash string, size long, modified_time long, scan_status string")
+    files = spark.createDataFrame([("p", 6, 11, None)], "path string, size long, modified_time long, hash string")
+    assert [(r.hash, r.size, r.scan_status) for r in catalog.merge_scan(images, catalog.classify(files, images)).collect()] == [("h1", 6, "pending")]
+
+
+def test_new_ids_cover_rows_that_count_and_result_partition_differently(spark):
+    """Wide rows: adaptive planning leaves more partitions of them than of the counted column alone."""
+    table = spark.createDataFrame([(7,)], "id long")
+    rows = spark.range(40_000).select(F.concat(F.lit("p"), F.xxhash64("id").cast("string")).alias("path"), F.concat(*[F.sha2(F.concat("id", F.lit(f"{k}")), 512) for k in range(4)]).alias("hash"))
+    sizes = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1MB", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        got = catalog.with_ids(rows, table, "path").toPandas().sort_values("id")
+    finally:
+        for k in sizes:
+            spark.conf.unset(k)
+    assert got["id"].tolist() == list(range(8, 40_008)) and got["path"].is_monotonic_increasing
+    assert catalog.with_ids(rows.limit(0), table, "path").count() == 0
+    assert [r.id for r in catalog.with_ids(spark.createDataFrame([(None,), ("b",), ("a",)], "path string"), table, "path").orderBy("path").collect()] == [8, 9, 10]
+
+
 def test_queue_stream_processes_each_file_once(spark, tmp_path):
     schema = "id long, image_id long, task_type string, status string, retry_count int"
     images = spark.createDataFrame([Row(id=1)])
