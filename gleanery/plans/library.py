@@ -103,8 +103,8 @@ def library_page(spark, sf_dir):
 UPDATES = "u AS (SELECT o_orderkey AS id, CASE WHEN l_returnflag = 'R' THEN 'R' ELSE 'K' END AS status, l_linenumber AS seq FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"
 
 
-def _updates(spark, sf_dir) -> DataFrame:
-    own = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.when(F.col("l_returnflag") == "R", "R").otherwise("K").alias("status"), F.col("l_linenumber").alias("seq"))
+def _updates(spark, sf_dir, *more) -> DataFrame:
+    own = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.when(F.col("l_returnflag") == "R", "R").otherwise("K").alias("status"), F.col("l_linenumber").alias("seq"), *more)
     return own.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), "id", "left_semi")
 
 
@@ -114,8 +114,10 @@ def _orders(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {UPDATES}, l AS (SELECT id, arg_max(status, seq) AS status FROM u GROUP BY id) SELECT o_orderkey AS id, coalesce(l.status, o_orderstatus) AS status FROM orders LEFT JOIN l ON id = o_orderkey")
 def upsert_last_wins(spark, sf_dir):
-    """The line numbers of an order are distinct, so the last is one row."""
-    return catalog.upsert(_orders(spark, sf_dir), _updates(spark, sf_dir).dropDuplicates(["id", "seq"]), "id", "seq")
+    """Line numbers repeat within an order: of equal ones the first in the files wins, as the SQL takes it read in order (by one thread;
+    by several it takes any). A line without a number changes nothing."""
+    at = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "row_index")]
+    return catalog.upsert(_orders(spark, sf_dir), _updates(spark, sf_dir, *at).filter("seq is not null"), "id", "seq", "file_path", "row_index")
 
 
 @query(f"WITH {UPDATES}, l AS (SELECT DISTINCT id FROM u WHERE status = 'R') SELECT o_orderkey AS id, CASE WHEN l.id IS NOT NULL THEN 'returned' ELSE o_orderstatus END AS status FROM orders LEFT JOIN l ON l.id = o_orderkey")

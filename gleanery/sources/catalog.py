@@ -70,10 +70,10 @@ def enqueue(images: DataFrame, classified: DataFrame, tasks: DataFrame) -> DataF
     return pending.select(F.col("id").alias("image_id"), F.lit("image").alias("task_type"), F.lit("pending").alias("status"), F.lit(0).alias("retry_count"))
 
 
-def upsert(table: DataFrame, rows: DataFrame, key: str, order: str) -> DataFrame:
-    """``rows`` replace those of their keys; of several for a key the last by ``order`` wins."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    last = rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", order)
+def upsert(table: DataFrame, rows: DataFrame, key: str, order: str, *ties: str) -> DataFrame:
+    """``rows`` replace those of their keys; of several for a key the last by ``order`` wins, of equal ones the first by ``ties``."""
+    w = Window.partitionBy(key).orderBy(F.desc(order), *ties)
+    last = rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", order, *ties)
     return table.join(last.select(key), key, "left_anti").unionByName(last.select(*table.columns))
 
 

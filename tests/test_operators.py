@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from gleanery.engine import Engine
 from gleanery.functions import geometry, image, text, vector
 from gleanery.operators import clustering, evaluation, knn, models, ranking, suppression
+from gleanery.plans import library
 from gleanery.sources import catalog, vectors
 from gleanery.streaming import queue
 
@@ -197,6 +199,17 @@ def test_new_ids_cover_rows_that_count_and_result_partition_differently(spark):
     assert [r.id for r in catalog.with_ids(spark.createDataFrame([(None,), ("b",), ("a",)], "path string"), table, "path").orderBy("path").collect()] == [8, 9, 10]
 
 
+def test_of_equal_line_numbers_the_first_in_the_files_wins(spark, tmp_path):
+    """The later file is the larger, which a scan takes first."""
+    schema = "l_orderkey long, l_linenumber int, l_returnflag string"
+    (tmp_path / "sf" / "lineitem.parquet").mkdir(parents=True)
+    for name, rows in (("a", [(1, 2, "R"), (2, 1, "N"), (3, None, "R")]), ("b", [(1, 2, "N"), (2, 1, "R"), (1, 1, "N"), *[(k, 1, "R") for k in range(10, 4000)]])):
+        pq.write_table(spark.createDataFrame(rows, schema).toArrow(), tmp_path / "sf" / "lineitem.parquet" / f"{name}.parquet")
+    spark.createDataFrame([(1, "O"), (2, "O"), (3, "F")], "o_orderkey long, o_orderstatus string").write.parquet(str(tmp_path / "sf" / "orders.parquet"))
+    got = {r.id: r.status for r in library.upsert_last_wins(spark, str(tmp_path / "sf")).collect()}
+    assert got == {1: "R", 2: "K", 3: "F"}
+
+
 def test_queue_stream_processes_each_file_once(spark, tmp_path):
     schema = "id long, image_id long, task_type string, status string, retry_count int"
     images = spark.createDataFrame([Row(id=1)])
