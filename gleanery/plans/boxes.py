@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry, image
-from ..operators import suppression
+from ..operators import overlap, suppression
 from .registry import query, table
 from .similarity import r
 
@@ -52,7 +52,7 @@ def box_iou_join(spark, sf_dir):
 
 @query(f"WITH {BOXES}, p AS (SELECT a.image, a.id FROM b a JOIN b c ON a.image = c.image AND a.id < c.id AND {IOU} > 0.4) SELECT image, count(*) AS pairs, count(DISTINCT id) AS boxes FROM p GROUP BY image")
 def box_duplicates(spark, sf_dir):
-    return overlaps(boxes(spark, sf_dir), 0.4).filter("iou > 0.4").groupBy("image").agg(F.count("*").alias("pairs"), F.count_distinct("id").alias("boxes"))
+    return overlap.counted(boxes(spark, sf_dir), 0.4).groupBy("image").agg(F.sum("n").alias("pairs"), F.count("*").alias("boxes"))
 
 
 @query(
