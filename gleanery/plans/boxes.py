@@ -23,31 +23,11 @@ def boxes(spark, sf_dir) -> DataFrame:
     )
 
 
-def overlaps(a: DataFrame, least: float) -> DataFrame:
-    """Pairs of one image's boxes with at least that overlap (above 0): joined by grid cells, each pair taken in one cell.
-
-    A cell has twice the median sides of the boxes, so that most lie in few cells, and a crowded image is split by its cells.
-    The partitions are set, as pairs are many more than the boxes that adaptive planning counts."""
-    sides = a.agg(*[F.percentile_approx(c, 0.5).alias(c) for c in ("w", "h")]).collect()[0]
-    size = {"x": max(1, 2 * int(sides.w or 1)), "y": max(1, 2 * int(sides.h or 1))}
-    cells = lambda at, side: F.sequence(F.floor(F.col(at) / size[at]), F.floor((F.col(at) + F.col(side) - 1) / size[at]))
-    placed = a.withColumn("cx", F.explode(cells("x", "w"))).withColumn("cy", F.explode(cells("y", "h")))
-    n = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = placed.repartition(n, "image", "cx", "cy")
-    b = placed.select(*[F.col(c).alias(f"{c}2") for c in ("id", "image", "x", "y", "w", "h", "cx", "cy")])
-    meet = lambda at, side: F.least(F.col(at) + F.col(side), F.col(f"{at}2") + F.col(f"{side}2")) - F.greatest(at, f"{at}2")
-    one = lambda at, cell: F.col(cell) == F.floor(F.greatest(at, f"{at}2") / size[at])
-    same = (F.col("image") == F.col("image2")) & (F.col("cx") == F.col("cx2")) & (F.col("cy") == F.col("cy2")) & (F.col("id") < F.col("id2"))
-    # in this order, as the cheap tests leave few pairs; only of boxes that do not meet may the union be 0
-    inter = meet("x", "w") * meet("y", "h")
-    iou = F.try_divide(inter.cast("double"), F.col("w") * F.col("h") + F.col("w2") * F.col("h2") - inter)
-    met = (meet("x", "w") > 0) & (meet("y", "h") > 0)
-    return left.join(b, same & met & (iou >= least) & one("x", "cx") & one("y", "cy")).withColumn("iou", iou)
-
-
 @query(f"WITH {BOXES} SELECT a.image, a.id, c.id AS other, round({IOU}, 6) AS iou FROM b a JOIN b c ON a.image = c.image AND a.id < c.id AND {IOU} >= 0.3")
 def box_iou_join(spark, sf_dir):
-    return overlaps(boxes(spark, sf_dir), 0.3).select("image", "id", F.col("id2").alias("other"), r("iou").alias("iou"))
+    # rounded as the SQL does, by a product: F.round goes through decimals, which takes longer than the pairs
+    rounded = F.floor(F.col("iou") * 1e6 + 0.5) / 1e6
+    return overlap.pairs(boxes(spark, sf_dir), 0.3).select("image", "id", F.col("id2").alias("other"), rounded.alias("iou"))
 
 
 @query(f"WITH {BOXES}, p AS (SELECT a.image, a.id FROM b a JOIN b c ON a.image = c.image AND a.id < c.id AND {IOU} > 0.4) SELECT image, count(*) AS pairs, count(DISTINCT id) AS boxes FROM p GROUP BY image")

@@ -47,3 +47,17 @@ def test_duplicates_are_counted_without_a_row_for_each_pair(spark, sf):
 def test_no_boxes(spark):
     none = spark.createDataFrame([], "image string, id long, x long, y long, w long, h long")
     assert overlap.counted(none, 0.4).count() == 0 and overlap.pairs(none, 0.3).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["whole", "far", "real"])
+def test_pairs_are_all_pairs(spark, kind, monkeypatch):
+    monkeypatch.setattr(overlap, "ROWS", 7), monkeypatch.setattr(overlap, "COLUMNS", 16), monkeypatch.setattr(overlap, "OUT", 50)
+    t = "double" if kind == "real" else "long"
+    rows = made(kind)
+    want = sorted((i, a, b, round(v, 9)) for i, a, b, v in brute(rows) if v >= 0.3)
+    got = overlap.pairs(spark.createDataFrame(rows, f"image string, id long, x {t}, y {t}, w {t}, h {t}"), 0.3).collect()
+    assert sorted((r.image, r.id, r.id2, round(r.iou, 9)) for r in got) == want and want
+
+
+def test_joined_boxes_are_not_compared_row_by_row(spark, sf):
+    assert "Join" not in plans.box_iou_join(spark, sf)._jdf.queryExecution().executedPlan().toString()
