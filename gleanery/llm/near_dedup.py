@@ -248,16 +248,30 @@ def _labels(docs: DataFrame, signed: DataFrame, n: int, percent: int) -> DataFra
     open_ = materialize(labelled.join(split, "key").groupBy("class", "label", "n").agg(F.lit(1).alias("one")), "open")
     texts = _texts(docs, open_.select("class").join(reps, "class"), n)
     held = materialize(_prefixes(texts, n, percent).join(open_, "class"), "prefixes")
+    # if this is the first they share, what is left of either set must hold all that a link needs
+    need = percent * (F.col("n") + F.col("m"))
+    enough = ((F.col("n") - F.col("at")) * (100 + percent) >= need) & ((F.col("m") - F.col("there")) * (100 + percent) >= need)
+    ordered = F.least("class", "y").alias("x"), F.greatest("class", "y").alias("y")
+
+    # one class a shingle first, which has the fewest rarer ones and so is closest to what its group shares
+    central = held.groupBy("shingle").agg(F.min_by(F.struct("class", "n", "label", "at"), F.struct("at", "class")).alias("c"), (F.min("label") < F.max("label")).alias("split")).filter("split")
+    central = central.select("shingle", F.col("c.class").alias("y"), F.col("c.n").alias("m"), F.col("c.label").alias("other"), F.col("c.at").alias("there"))
+    near = held.join(central, "shingle").filter((F.col("label") != F.col("other")) & alike & enough).select(*ordered).distinct().join(tried, ["x", "y"], "left_anti")
+    near = materialize(near, "central-tried")
+    links = links.unionByName(_linked(texts, near, n, percent))
+    tried = tried.unionByName(near)
+    found = materialize(components(links), "components")
+    held = held.drop("label").join(found.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    held = materialize(held, "relabelled")
+
+    # then all that share a shingle and are still in different components
     own = held.groupBy("shingle", "label").agg(F.count("*").alias("own"))
     split = own.groupBy("shingle").agg(F.max_by("label", F.struct("own", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").select("shingle", "main")
     held = held.join(split, "shingle")
     rest = held.filter("label <> main").select("shingle", "class", "n", "label", "at")
     others = held.select("shingle", F.col("class").alias("y"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("at").alias("there"))
-    # if this is the first they share, what is left of either set must hold all that a link needs
-    need = percent * (F.col("n") + F.col("m"))
-    enough = ((F.col("n") - F.col("at")) * (100 + percent) >= need) & ((F.col("m") - F.col("there")) * (100 + percent) >= need)
     cross = rest.join(others, (rest["shingle"] == others["shingle"]) & (rest["label"] != others["other"]) & alike & enough)
-    cross = cross.select(F.least("class", "y").alias("x"), F.greatest("class", "y").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")
+    cross = cross.select(*ordered).distinct().join(tried, ["x", "y"], "left_anti")
     cross = materialize(cross, "cross-tried")
     more = _linked(texts, cross, n, percent)
     found = components(links.unionByName(more))

@@ -98,3 +98,25 @@ def test_pigeonhole_index_holds_every_pair_within_the_distance():
         out = next(nd._index(chunks)([batch])).to_pydict()
         mine = {k for k, c in zip(out["key"], out["class"], strict=True) if c == 1}
         assert mine & {k for k, c in zip(out["key"], out["class"], strict=True) if c == 2}
+
+
+def test_central_classes_are_tried_before_whole_groups(spark, monkeypatch):
+    """400 texts of one group, of which many are just too far from all others: these are still compared with many (11,098 pairs without that round)."""
+    rng, tried, rows = random.Random(3), {}, []
+    for k in range(400):
+        words = [f"w{i}" for i in range(150)]
+        for e in range(rng.randint(1, 7)):
+            words[rng.randrange(150)] = f"x{k}_{e}"
+        rows.append((k, " ".join(words)))
+    plain = nd.materialize
+
+    def seen(df, name):
+        out = plain(df, name)
+        if name in ("central-tried", "cross-tried"):
+            tried[name] = out.count()
+        return out
+
+    monkeypatch.setattr(nd, "materialize", seen)
+    got = flat(nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85))
+    assert got == brute(rows, 3, 85) and sum(kept for *_, kept in got) > 20
+    assert 0 < tried["central-tried"] < len(rows) and sum(tried.values()) < 10_500, tried
