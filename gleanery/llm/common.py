@@ -58,15 +58,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{work_dir(spark)}/gleanery-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(remove, spark, path)
+    trim(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim(spark: SparkSession) -> str | None:
+    """Has the driver's JVM give freed native memory back to the system, and tells what it says of that. Spark starts a thread
+    for each exchange, and glibc keeps what hundreds of them have freed, some 150 MB beside the heap. A JVM without this
+    command is left as it is: None."""
+    try:
+        jvm, new_array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+        given = new_array(jvm.java.lang.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # the server's class is not open to Py4J; the interface's method is
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Exception:  # not there, or not allowed
+        return None
+
+
 def let_go(spark: SparkSession) -> None:
     """Has Spark delete the shuffle files of finished frames that nothing refers to any more, rather than whenever the driver collects its garbage."""
     for _ in range(2):  # what the first round frees in Python, the second frees in the JVM
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.5)
+    trim(spark)
 
 
 def buckets(docs: DataFrame, each: int, column: str = "text") -> int:

@@ -25,8 +25,15 @@ def _small(e: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``links`` has the long columns ``a`` and ``b``; gives ``node`` and ``label``, the least node reached from it, for every linked node but the labels."""
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``links`` has the long columns ``a`` and ``b``; gives ``node`` and ``label``, the least node reached from it, for every linked node but the labels.
+
+    ``known`` is what an earlier call gave, materialised: its stars stand for the links of that call, so that only what
+    is new has to be followed."""
+    if known is not None:
+        if links.isEmpty():
+            return known
+        links = links.select("a", "b").unionByName(known.select(F.col("node").alias("a"), F.col("label").alias("b")))
     edges = materialize(links.select("a", "b").filter("a <> b").distinct(), "links")
     before = None
     while True:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrays
-from .common import batch_bytes, free, materialize, read, text_or_empty
+from .common import batch_bytes, free, let_go, materialize, read, text_or_empty
 from .components import components
 
 WIDTH, ERRORS, MISS = 5, 1, 1e-5
@@ -239,8 +239,8 @@ def _labels(docs: DataFrame, signed: DataFrame, n: int, percent: int) -> DataFra
     star = star.join(sizes, "y").filter(alike).select(F.least("class", "y").alias("x"), F.greatest("class", "y").alias("y")).distinct()
     tried = materialize(_close(star, classes, distance), "stars-tried")
     wanted = tried.select(F.col("x").alias("class")).union(tried.select("y")).distinct()
-    links = _linked(_texts(docs, wanted.join(reps, "class"), n), tried, n, percent)
-    found = materialize(components(links), "components")
+    found = components(_linked(_texts(docs, wanted.join(reps, "class"), n), tried, n, percent))
+    let_go(docs.sparkSession)
 
     # what the stars may have missed: links between components that share a bucket
     labelled = members.join(found.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
@@ -258,11 +258,11 @@ def _labels(docs: DataFrame, signed: DataFrame, n: int, percent: int) -> DataFra
     central = central.select("shingle", F.col("c.class").alias("y"), F.col("c.n").alias("m"), F.col("c.label").alias("other"), F.col("c.at").alias("there"))
     near = held.join(central, "shingle").filter((F.col("label") != F.col("other")) & alike & enough).select(*ordered).distinct().join(tried, ["x", "y"], "left_anti")
     near = materialize(near, "central-tried")
-    links = links.unionByName(_linked(texts, near, n, percent))
+    found = components(_linked(texts, near, n, percent), found)
     tried = tried.unionByName(near)
-    found = materialize(components(links), "components")
     held = held.drop("label").join(found.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     held = materialize(held, "relabelled")
+    let_go(docs.sparkSession)
 
     # then all that share a shingle and are still in different components
     own = held.groupBy("shingle", "label").agg(F.count("*").alias("own"))
@@ -273,8 +273,7 @@ def _labels(docs: DataFrame, signed: DataFrame, n: int, percent: int) -> DataFra
     cross = rest.join(others, (rest["shingle"] == others["shingle"]) & (rest["label"] != others["other"]) & alike & enough)
     cross = cross.select(*ordered).distinct().join(tried, ["x", "y"], "left_anti")
     cross = materialize(cross, "cross-tried")
-    more = _linked(texts, cross, n, percent)
-    found = components(links.unionByName(more))
+    found = components(_linked(texts, cross, n, percent), found)
 
     label = reps.join(found.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     return materialize(label, "labels")

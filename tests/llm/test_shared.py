@@ -1,10 +1,12 @@
 import random
+import sys
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from gleanery.llm import arrays
-from gleanery.llm.common import free, materialize, work_dir
+from gleanery.llm.common import free, materialize, trim, work_dir
 from gleanery.llm.components import components
 
 
@@ -53,6 +55,23 @@ def test_components_match_union_find(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_go_on_from_those_known(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)]
+    frame = lambda some: spark.createDataFrame(some, "a long, b long")
+    flat = lambda df: sorted((r.node, r.label) for r in df.collect())
+    first = components(frame(edges[:200]))
+    assert flat(components(frame(edges[200:]), first)) == flat(components(frame(edges))) != flat(first)
+    assert components(frame([]), first) is first
+
+
+def test_driver_gives_back_native_memory(spark):
+    runtime = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getRuntimeMXBean()
+    if int(runtime.getSpecVersion()) < 17 or "linux" not in sys.platform:
+        pytest.skip("this JVM has no such command")
+    assert "Trim native heap" in trim(spark)
+
+
 def test_tables_go_to_the_shared_folder(spark):
     assert work_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     df = materialize(spark.range(5), "t")
