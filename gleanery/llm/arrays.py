@@ -20,6 +20,7 @@ BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: A second table of byte values, for a second hash that is independent of the first.
 CHECK = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PLACE_BITS = np.uint64(26)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -95,18 +96,43 @@ def slices(batch: pa.RecordBatch, column: str, size: int = CHUNK) -> Iterator[pa
     trim()
 
 
-def running(data: np.ndarray, values: np.ndarray = BYTE) -> np.ndarray:
-    """Prefix sums from which ``stretch`` takes the hash of any stretch; one longer than ``data``."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * powers(len(data) + 1)[0][: len(data)], out=out[1:])
+def summed(values: np.ndarray) -> np.ndarray:
+    """Prefix sums from which ``stretch`` takes the hash of any stretch; one longer than ``values``."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(len(values) + 1)[0][: len(values)], out=out[1:])
     return out
 
 
+def running(data: np.ndarray, values: np.ndarray = BYTE) -> np.ndarray:
+    """``summed`` of the bytes' values."""
+    return summed(values[data])
+
+
 def stretch(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Unmixed hashes of bytes [start, end)."""
     return (sums[end] - sums[start]) * powers(len(sums))[1][start]
 
 
+def smallest(x: np.ndarray, size: int) -> np.ndarray:
+    """The minimum of each run of ``size`` values."""
+    n = len(x) - size + 1
+    padded = np.concatenate((x, np.full(-len(x) % size, ~np.uint64(0)))).reshape(-1, size)
+    left = np.minimum.accumulate(padded, axis=1).reshape(-1)
+    right = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return np.minimum(right[:n], left[size - 1 : size - 1 + n])
+
+
+def smallest_at(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Where the smallest of each run of ``size`` hashes stands (by their high bits; the first of equal ones)."""
+    best = np.empty(len(hashes) - size + 1, np.int64)
+    step = 1 << 20
+    for s in range(0, len(best), step):  # places are counted from s, so that they fit however long a document is
+        own = hashes[s : s + step + size - 1]
+        key = (own >> PLACE_BITS) << PLACE_BITS | np.arange(len(own)).astype(np.uint64)
+        best[s : s + step] = s + (smallest(key, size) & np.uint64((1 << 26) - 1)).astype(np.int64)
+    return best
+
+
 def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words (runs free of ASCII white space), and each document's first word (one more than documents)."""
     full = ~SPACE[data]

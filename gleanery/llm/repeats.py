@@ -20,6 +20,9 @@ go on, so that each answers for some BUCKET_BYTES of text. Defined results: null
 as empty; texts under LENGTH bytes lose nothing; matches never cross documents, overlaps
 within one count; rows that repeat are elsewhere to one another; null ids are kept; an
 empty table gives no rows; other columns are not read.
+
+A passage of over 50 words is often shorter than LENGTH bytes and loses nothing then. Which
+documents hold one that stands in another document too is told beside the removals (``passages``).
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrays, exchange, suffix_array
+from . import arrays, exchange, passages, suffix_array
 from .bpe import numbers, pack, unpack
 from .common import buckets, materialize, read, text_or_empty
 
@@ -43,22 +46,12 @@ BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 #: Keys of documents up to this count (16 bytes each) are broadcast; more are shuffled.
 BROADCAST_ROWS = 500_000
 GRAMS = LENGTH - GRAM + 1
-PLACE_BITS = np.uint64(26)
 _CORE, _FRAME, _WINDOW = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 ROWS = pa.schema([("place", pa.string()), ("block", pa.string()), ("bucket", pa.int32()), ("payload", pa.binary())])
 ROWS_DDL, BACK_DDL = "place string, block string, bucket int, payload binary", "block string, bucket int, payload binary"
 
 
-def smallest(x: np.ndarray, size: int) -> np.ndarray:
-    """The minimum of each run of ``size`` values."""
-    n = len(x) - size + 1
-    padded = np.concatenate((x, np.full(-len(x) % size, ~np.uint64(0)))).reshape(-1, size)
-    left = np.minimum.accumulate(padded, axis=1).reshape(-1)
-    right = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return np.minimum(right[:n], left[size - 1 : size - 1 + n])
-
-
 class Anchors:
     """Of a chunk of documents: each anchor with the window starts it stands for."""
 
@@ -72,12 +65,7 @@ class Anchors:
             return
         place = np.arange(n - GRAM + 1)
         gram = arrays.mix(arrays.stretch(self.sums, place, place + GRAM))
-        best = np.empty(n - LENGTH + 1, np.int64)
-        step = 1 << 20
-        for s in range(0, len(best), step):  # places are counted from s, so that they fit however long a document is
-            own = gram[s : s + step + GRAMS - 1]
-            key = (own >> PLACE_BITS) << PLACE_BITS | np.arange(len(own)).astype(np.uint64)
-            best[s : s + step] = s + (smallest(key, GRAMS) & np.uint64((1 << 26) - 1)).astype(np.int64)
+        best = arrays.smallest_at(gram, GRAMS)
         length = np.diff(at)
         valid = arrays.ragged(at[:-1], np.maximum(length - LENGTH + 1, 0))
         if not len(valid):
@@ -391,7 +379,7 @@ def remove(n_buckets: int, most: int):
 
 
 def remove_repeats(docs: DataFrame, most: int = HOT, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` for each row.
+    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``shares_passage`` (see ``passages``) for each row.
 
     ``most``: places of a core that one shard takes. The other two bound what a task holds."""
     digest = F.xxhash64(text_or_empty())
@@ -411,9 +399,11 @@ def remove_repeats(docs: DataFrame, most: int = HOT, block_bytes: int = BLOCK_BY
     done = sorted_.groupBy("block").applyInArrow(remove(n, most), "doc_id long, digest long, n_removed long, n_spans long, kept_sha256 string")
     done = done.filter("n_removed > 0").dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("r_id"), F.col("digest").alias("r_digest"), "n_removed", "n_spans", "kept_sha256")
     text = text_or_empty()
-    own = docs.select("doc_id", digest.alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("own"))
+    own = docs.select("doc_id", digest.alias("digest"), passages.document_key().alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("own"))
     both = own.join(done, own["doc_id"].eqNullSafe(done["r_id"]) & (own["digest"] == done["r_digest"]), "left")
-    return both.select("doc_id", "n_bytes", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_removed", "n_spans")], F.coalesce("kept_sha256", "own").alias("kept_sha256"))
+    both = both.join(passages.sharing_keys(docs).withColumn("shared", F.lit(True)), "key", "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_removed", "n_spans")]
+    return both.select("doc_id", "n_bytes", *counts, F.coalesce("kept_sha256", "own").alias("kept_sha256"), F.coalesce("shared", F.lit(False)).alias("shares_passage"))
 
 
 def op5_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
